@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitgrid.llm.common import documents
 
@@ -15,9 +16,37 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir), width=4, radius=4)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.pfp import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), length=400)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pitgrid.llm.harmonic import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=2048)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.external_shuffle import external_shuffle
+
+    shuffled = external_shuffle(documents(spark, sf_dir).select("doc_id", "text"), n_shards=8)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return shuffled.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash": op5_simhash,
+        "op7_repeats": op7_repeats,
+        "op9_packing": op9_packing,
+        "op10_sharding": op10_sharding,
     }
 
 
