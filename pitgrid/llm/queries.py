@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from pitgrid.llm.common import documents
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.crf import quality_verdicts
+
+    return quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.ppm import predict_language
+
+    return predict_language(documents(spark, sf_dir))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.secrets import find_secrets
+
+    return find_secrets(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitgrid.llm.simhash import simhash_components
 
@@ -43,7 +61,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
+        "op3_language": op3_language,
         "op5_simhash": op5_simhash,
+        "op6_secrets": op6_secrets,
         "op7_repeats": op7_repeats,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
