@@ -10,7 +10,8 @@ in naming-based suffix sorting, given level by level:
 
 * parse: a trigger's name is its next length - reach + 1 bytes, which every window of that trigger holds;
 * dictionary: all windows of one trigger as a whole (phrase and what follows). Same entry twice: all of them repeat.
-* only where one parse name has several entries are windows told apart one by one; an entry stands in once.
+* only where one parse name has several entries are its windows told apart, in blocks and then one by one; there, any
+  one occurrence stands for its entry.
 
 Counts are pre-aggregated at each level, so a passage that very many documents share is no hot spot.
 """
@@ -26,16 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.common import small_batches, stash
+from pitgrid.llm.common import drop_stash, small_batches, stash
 
 GRAM = 16
+#: Windows of an open entry are first told apart in blocks of so many.
+BLOCK = 16
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def window_triggers(data: bytes, length: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one trigger: first start, last start, trigger position."""
     n = len(data)
@@ -64,7 +63,7 @@ def _entries(length: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for row, text in zip(zip(batch.column("did").to_pylist(), batch.column("th").to_pylist()), batch.column("text").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(data) < length:
@@ -77,32 +76,61 @@ def _entries(length: int, reach: int):
                 cols[3] += [row[1]] * len(at)
                 cols[4] += first
                 cols[5] += last
-            arrays = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in cols[:2]] + [pa.array(c, pa.int64()) for c in cols[2:4]] + [pa.array(c, pa.int32()) for c in cols[4:]]
-            yield pa.RecordBatch.from_arrays(arrays, ["name", "entry", "did", "th", "first", "last"])
+                cols[6] += at
+            arrays = [*map(_longs, cols[:2])] + [pa.array(c, pa.int64()) for c in cols[2:4]] + [pa.array(c, pa.int32()) for c in cols[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["name", "entry", "did", "th", "first", "last", "trigger"])
+
+    return run
+
+
+def _blocks(length: int):
+    """Level two: the windows of entries that share a name with others, in blocks of BLOCK places of the trigger."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for did, th, text, parts in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "parts"))):
+                data = text.encode("utf-8", "surrogatepass")
+                inner, whole, firsts, lasts = [], [], [], []
+                for x in parts:
+                    if not x["open"]:
+                        continue
+                    first, last, at = x["first"], x["last"], x["trigger"]
+                    for j in range((at - last) // BLOCK, (at - first) // BLOCK + 1):
+                        lo, hi = max(first, at - BLOCK * j - BLOCK + 1), min(last, at - BLOCK * j)
+                        inner.append(digest(data[at - BLOCK * j : at - BLOCK * j - BLOCK + 1 + length], j))
+                        whole.append(digest(data[lo : hi + length], (at - lo) * length + at - hi))
+                        firsts.append(lo)
+                        lasts.append(hi)
+                if inner:
+                    yield pa.RecordBatch.from_arrays([*map(_longs, (inner, whole)), *_same(len(inner), did, th), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], ["inner", "whole", "did", "th", "first", "last"])
 
     return run
 
 
 def _windows(length: int):
-    """Level two: the windows of entries that share a name with others, one by one."""
+    """Level three: the windows of blocks whose common bytes several blocks share, one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for did, th, text, items in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "items"))):
                 data = text.encode("utf-8", "surrogatepass")
-                names, hashes, starts = [], [], []
-                for x in items:
-                    span = range(x["first"], x["last"] + 1)
-                    names += [x["name"]] * len(span)
-                    hashes += [digest(data[i : i + length]) for i in span]
-                    starts += span
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array([did] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(starts, pa.int32())], ["name", "window", "did", "th", "first"])
+                inner = [x["inner"] for x in items for _ in range(x["first"], x["last"] + 1)]
+                starts = [i for x in items for i in range(x["first"], x["last"] + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(inner, pa.int64()), _longs([digest(data[i : i + length]) for i in starts]), *_same(len(starts), did, th), pa.array(starts, pa.int32())], ["inner", "window", "did", "th", "first"])
 
     return run
 
 
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
+def _same(n: int, *values: int) -> list[pa.Array]:
+    return [pa.array(np.full(n, v, np.int64)) for v in values]
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -136,27 +164,45 @@ def _cut(keep_bytes: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, reach: int = 256) -> DataFrame:
-    """(did, th, first, end): byte spans of repeated windows, overlapping, for rows of docs (did, th, text)."""
-    if length < reach + GRAM:
-        raise ValueError("a window must hold a whole phrase")
+def _first(*columns: str) -> list:
+    """Any one row's columns: which row stands for its class makes no difference to the counts."""
+    return [F.first(c).alias(c) for c in columns]
+
+
+def _twice(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+
+
+def repeated_parts(docs: DataFrame, length: int, reach: int) -> DataFrame:
+    """(did, th, parts) of the rows of docs (did, th, text) that may hold repeats: runs of windows (first, last) that all
+    repeat, and open ones, of which each stands for its dictionary entry."""
     long_enough = docs.where(F.octet_length("text") >= length)
-    entries = stash(long_enough.mapInArrow(_entries(length, reach), "name long, entry long, did long, th long, first int, last int"))
-    again = entries.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    open_ = stash(entries.join(again, "name", "left_semi"))
-    dictionary = open_.groupBy("name", "entry").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("did", "th", "first", "last")])
-    dictionary = stash(dictionary)
-    whole = open_.join(dictionary.where("n > 1").select("name", "entry"), ["name", "entry"], "left_semi").select("did", "th", "first", (F.col("last") + length).alias("end"))
-
-    several = dictionary.groupBy("name").agg(F.count("*").alias("entries")).where("entries > 1").select("name")
-    items = dictionary.join(several, "name", "left_semi").groupBy("did", "th").agg(F.collect_list(F.struct("name", "first", "last")).alias("items"))
-    windows = stash(long_enough.dropDuplicates(["did", "th"]).join(items, ["did", "th"]).mapInArrow(_windows(length), "name long, window long, did long, th long, first int"))
-    twice = windows.groupBy("name", "window").agg(F.count("*").alias("n")).where("n > 1").select("name", "window")
-    single = windows.join(twice, ["name", "window"], "left_semi").select("did", "th", "first", (F.col("first") + length).alias("end"))
-    return whole.union(single)
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, reach: int = 256, keep_bytes: bool = False) -> DataFrame:
+    entries = stash(long_enough.mapInArrow(_entries(length, reach), "name long, entry long, did long, th long, first int, last int, trigger int"))
+    shared = stash(entries.join(_twice(entries, "name"), "name", "left_semi"))
+    drop_stash(entries)
+    dictionary = stash(shared.groupBy("name", "entry").agg(F.count("*").alias("n"), *_first("did", "th", "first", "last", "trigger")))
+    settled = shared.join(dictionary.where("n > 1").select("name", "entry"), ["name", "entry"], "left_semi")
+    open_ = dictionary.join(_twice(dictionary, "name"), "name", "left_semi")
+    part = lambda open_: F.struct("first", "last", "trigger", F.lit(open_).alias("open")).alias("part")
+    both = settled.select("did", "th", part(False)).union(open_.select("did", "th", part(True)))
+    return both.groupBy("did", "th").agg(F.collect_list("part").alias("parts"))
+
+
+def later_spans(found: DataFrame, length: int) -> DataFrame:
+    """(did, th, first, end): repeats among the open parts of found (did, th, text, parts)."""
+    opened = found.where(F.exists("parts", lambda x: x.open))
+    blocks = stash(opened.mapInArrow(_blocks(length), "inner long, whole long, did long, th long, first int, last int"))
+    shared = stash(blocks.join(_twice(blocks, "inner"), "inner", "left_semi"))
+    drop_stash(blocks)
+    kinds = stash(shared.groupBy("inner", "whole").agg(F.count("*").alias("n"), *_first("did", "th", "first", "last")))
+    settled = shared.join(kinds.where("n > 1").select("inner", "whole"), ["inner", "whole"], "left_semi")
+    items = kinds.join(_twice(kinds, "inner"), "inner", "left_semi").groupBy("did", "th").agg(F.collect_list(F.struct("inner", "first", "last")).alias("items"))
+    windows = stash(opened.select("did", "th", "text").join(items, ["did", "th"]).mapInArrow(_windows(length), "inner long, window long, did long, th long, first int"))
+    single = windows.join(_twice(windows, "inner", "window"), ["inner", "window"], "left_semi")
+    return settled.select("did", "th", "first", (F.col("last") + length).alias("end")).union(single.select("did", "th", "first", (F.col("first") + length).alias("end")))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, reach: int = 320, keep_bytes: bool = False) -> DataFrame:
     """Remove each byte that a string of `length` bytes covers which starts anywhere else too, in any row or the same.
 
     docs needs doc_id and text (UTF-8 bytes count); other columns are ignored. One row per row of docs: doc_id,
@@ -164,16 +210,21 @@ def remove_repeats(docs: DataFrame, length: int = 400, reach: int = 256, keep_by
     as empty; rows are told apart by doc_id and text, repeated rows count as occurrences of each other; texts shorter
     than `length` stay whole. An empty table gives an empty one.
     """
+    if length < reach + GRAM:
+        raise ValueError("a window must hold a whole phrase")
     small_batches(docs.sparkSession, 200)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("*", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("th"))
-    spans = stash(repeated_spans(rows.select("did", "th", "text"), length, reach))
-    by_doc = spans.groupBy("did", "th").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    hit = rows.join(by_doc, ["did", "th"]).select("doc_id", "text", "spans")
+    found = stash(rows.join(repeated_parts(rows.select("did", "th", "text"), length, reach), ["did", "th"]))
+    late = later_spans(found, length).groupBy("did", "th").agg(F.collect_list(F.struct("first", "end")).alias("late"))
+    early = F.transform(F.filter("parts", lambda x: ~x.open), lambda x: F.struct(x.first.alias("first"), (x.last + length).alias("end")))
+    none = F.array().cast("array<struct<first:int,end:int>>")
+    hit = found.join(late, ["did", "th"], "left").select("doc_id", "text", F.concat(early, F.coalesce("late", none)).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    cut = hit.mapInArrow(_cut(keep_bytes), schema)
-    clean = rows.join(by_doc.select("did", "th"), ["did", "th"], "left_anti").select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+    zero = F.lit(0).cast("long")
+    plain = rows.select(
+        "did", "th", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
         F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if keep_bytes else []),
     )
-    return cut.union(clean)
+    clean = plain.join(found.select("did", "th"), ["did", "th"], "left_anti").drop("did", "th")
+    return hit.mapInArrow(_cut(keep_bytes), schema).union(clean)

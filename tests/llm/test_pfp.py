@@ -46,7 +46,7 @@ def test_cut_and_shared_passages(spark):
     texts += [texts[0], word(300) + "É" * 30, "É" * 41]
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for reach in (8, 24):
+    for reach in (8, 20, 24):
         assert got(remove_repeats(df, 40, reach)) == plain(docs, 40)
 
 
