@@ -50,7 +50,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the known forms; leftmost and non-overlapping per kind."""
     out = []
     low = text.lower()
-    if any(k in low for k in _KEYWORDS) or not text.isascii() and ("K" in text or "İ" in text):
+    if any(k in low for k in _KEYWORDS):
         out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
