@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pitgrid.llm.common import documents
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.imatch import fingerprint_edits
+
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitgrid.llm.crf import quality_verdicts
 
@@ -28,6 +34,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.pfair import mix
+
+    return mix(documents(spark, sf_dir)).drop("th")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitgrid.llm.simhash import simhash_components
 
@@ -40,6 +52,13 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), length=400)
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.fuzzy_lines import dedup_lines
+
+    kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,11 +80,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_imatch": op1_imatch,
         "op2_quality": op2_quality,
         "op3_language": op3_language,
+        "op4_mixing": op4_mixing,
         "op5_simhash": op5_simhash,
         "op6_secrets": op6_secrets,
         "op7_repeats": op7_repeats,
+        "op8_lines": op8_lines,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
     }

@@ -6,10 +6,15 @@ first sharded: 64 bits are cut into six blocks, and two values that differ in at
 of the six. Each of the 15 pairs of blocks deals the fingerprints to shards by those bits; in a shard, a BK-tree
 (children keyed by their integer distance to the parent) finds all values within the radius, following only edges
 within the radius of the distance. No link is lost, and shards larger than a bound meet chunk by chunk.
+
+Texts of a given similarity (rather than a given distance in bits) differ in far more bits than such shards allow:
+shingle sets of Jaccard similarity 0.8 differ in 15 % of them. similar_components() therefore takes WIDE_WORDS times as
+many bits, so that the distance tells the similarity closely, and shards by many random samples of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,18 +31,29 @@ SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Unsigned 64-bit SimHash of the shingles of `width` words of the lower-cased (A-Z) text; 0 without words."""
+#: similar_components(): 64-bit words of a fingerprint, and samples of its bits.
+WIDE_WORDS, TABLES = 4, 96
+_MIX = np.random.Generator(np.random.PCG64(41)).integers(0, 1 << 63, (WIDE_WORDS, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the shingles of `width` words of the lower-cased (A-Z) text, repeats included; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.split() cuts at \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     hashes = [digest(whole[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[-n:].tolist())]
-    bytes_ = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8)
+    return np.array(hashes, dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes."""
+    n = len(hashes)
+    bytes_ = hashes.view(np.uint8).reshape(n, 8)
     out = 0
     for k in range(8):
         ones = np.bincount(bytes_[:, k], minlength=256) @ _BITS
@@ -46,6 +62,24 @@ def fingerprint(text: str | None, width: int) -> int:
     return out
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """Unsigned 64-bit SimHash of a text; 0 without words."""
+    return majority(shingle_hashes(text, width))
+
+
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """SimHash of WIDE_WORDS times 64 bits, from as many mixes of the shingles' hashes."""
+    hashes = shingle_hashes(text, width)
+    out = []
+    for times, xor in _MIX:
+        h = (hashes ^ xor) * times
+        h ^= h >> np.uint64(31)
+        h *= times
+        h ^= h >> np.uint64(29)
+        out.append(majority(h).to_bytes(8, "little"))
+    return b"".join(out)
+
+
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp): one row per row of docs. Whole texts; null text counts as empty."""
     small_batches(docs.sparkSession)
@@ -99,21 +133,25 @@ def _masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(parts, 2)]
 
 
-def _shard_links(radius: int):
-    """Links of the shards that arrive sorted by key: a spanning forest of each shard, not all its pairs."""
+def _shard_links(radius: int, keys: list[str]):
+    """Links of the shards that arrive sorted by key: a spanning forest of each shard, not all its pairs.
+
+    Rows have id and fp, a long or little-endian bytes, and the sides of meet_in_blocks()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["mask", "bits", "side_a", "side_b"]
         for table in sorted_groups(batches, keys):
             starts = [*group_starts(table, keys).tolist(), table.num_rows]
-            values = table["fp"].to_numpy().view(np.uint64).tolist()
-            side, a, b = (table[c].to_numpy().tolist() for c in ("side", "side_a", "side_b"))
+            if pa.types.is_binary(table["fp"].type):
+                values = [int.from_bytes(x, "little") for x in table["fp"].to_pylist()]
+            else:
+                values = table["fp"].to_numpy().view(np.uint64).tolist()
+            ids, side, a, b = (table[c].to_numpy().tolist() for c in ("id", "side", "side_a", "side_b"))
             left: list[int] = []
             right: list[int] = []
             for lo, hi in zip(starts, starts[1:]):
                 if hi - lo < 2:
                     continue
-                tree, parent = BKTree(), {}
+                tree, parent, id_of = BKTree(), {}, dict(zip(values[lo:hi], ids[lo:hi]))
 
                 def find(x: int) -> int:
                     while parent.setdefault(x, x) != x:
@@ -132,12 +170,11 @@ def _shard_links(radius: int):
                         x, y = find(values[i]), find(other)
                         if x != y:
                             parent[x] = y
-                            left.append(values[i])
-                            right.append(other)
+                            left.append(ids[i])
+                            right.append(id_of[other])
                     if a[lo] == b[lo]:
                         tree.add(values[i])
-            as_long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (left, right)]
-            yield pa.RecordBatch.from_arrays(as_long, ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
 
@@ -148,8 +185,60 @@ def fingerprint_links(fps: DataFrame, radius: int, block_rows: int = 4000) -> Da
     masks = [as_long(m) for m in _masks(radius)]
     dealt = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks)])).alias("s")).select("fp", "s.*")
     keys = ["mask", "bits", "side_a", "side_b"]
-    met = meet_in_blocks(dealt, ["mask", "bits"], "fp", block_rows).select(*keys, "side", "fp")
-    return met.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_shard_links(radius), "a long, b long")
+    met = meet_in_blocks(dealt, ["mask", "bits"], "fp", block_rows).select(*keys, "side", F.col("fp").alias("id"), "fp")
+    return met.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_shard_links(radius, keys), "a long, b long")
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which sets of this Jaccard similarity differ on average, and 1.3 standard deviations more."""
+    n, p = 64 * WIDE_WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(n * p + 1.3 * math.sqrt(n * p * (1 - p)))
+
+
+def _samples(tables: int, bits: int):
+    """Keys of a fingerprint: random samples of its bits, the same for all."""
+    rng = np.random.Generator(np.random.PCG64(53))
+    picks = np.array([rng.choice(64 * WIDE_WORDS, bits, replace=False) for _ in range(tables)])
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+    numbers = np.arange(tables, dtype=np.int64) << bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WIDE_WORDS)
+            on = np.unpackbits(rows, axis=1, bitorder="little").astype(np.int64)
+            keys = np.stack([on[:, pick] @ weights for pick in picks], 1) + numbers
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), tables)), pa.array(keys.ravel())], ["id", "key"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = TABLES, block_rows: int = 2000) -> DataFrame:
+    """(doc_id, component_id): near-duplicate classes of texts whose shingle sets are about `similarity` alike or more.
+
+    Fingerprints within wide_radius(similarity) bits are linked where they meet in a shard. Shards are `tables` samples
+    of 4 bits more than the binary logarithm of the number of fingerprints: a pair at 0.8 meets with a chance of 0.93
+    over a quarter of a million fingerprints, one at 0.9 with one of 0.999. Nulls, repeats and empty texts as in
+    simhash_components().
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(t, width) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+
+    fps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
+    fps = stash(fps.withColumn("id", F.xxhash64("fp")))
+    nodes = stash(fps.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least_id")))
+    bits = max(8, min(48, 4 + nodes.count().bit_length()))
+    dealt = nodes.select("id", "fp").mapInArrow(_samples(tables, bits), "id long, key long")
+    keys = ["key", "side_a", "side_b"]
+    met = meet_in_blocks(dealt, ["key"], "id", block_rows).select(*keys, "side", "id").join(nodes.select("id", "fp"), "id")
+    links = met.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_shard_links(wide_radius(similarity), keys), "a long, b long")
+    roots = connected_components(links, "a", "b")
+    rooted = nodes.join(roots, nodes.id == roots.node, "left").select("id", "least_id", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return fps.select("doc_id", "id").join(rooted.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
@@ -169,8 +258,7 @@ def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4) -> Data
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_per_component(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+def keep_one_per_component(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but the document of the smallest doc_id of each near-duplicate class; all columns stay."""
-    found = simhash_components(docs, width, radius)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id == F.col("kept_id"), "left_semi")
+    kept = similar_components(docs, width, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
