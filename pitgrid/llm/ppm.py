@@ -142,7 +142,8 @@ def code_lengths(model: Model, tables: Tables, texts: list[str]) -> np.ndarray:
     bits = tables.cost[tables.rows[ctx] * SIZE + s[ORDER:]]
     ends = np.cumsum([len(p) for p in parts]) - ORDER
     starts = np.concatenate(([0], ends[:-1] + ORDER))
-    return np.add.reduceat(np.vstack([bits, np.zeros((1, bits.shape[1]), np.float32)]), np.stack([starts, ends], 1).ravel(), axis=0, dtype=np.float64)[::2]
+    sums = np.add.reduceat(np.vstack([bits, np.zeros((1, bits.shape[1]), np.float32)]), np.stack([starts, ends], 1).ravel(), axis=0, dtype=np.float64)[::2]
+    return np.where((starts < ends)[:, None], sums, 0.0)  # of an empty slice, reduceat gives the next value
 
 
 def predict_language(docs: DataFrame, limit: int = TRAINING_DOCS) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Candidate tokens (long runs of code characters with letters and digits) are read in the encoding that their characters
 suggest. Three tests ask whether the symbols are uniform and independent, as those of generated keys are: chi-squared
-over equal parts of the alphabet, Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial
-correlation. A token's p-value is the Bonferroni combination of the three. Over all tokens of the corpus, by class of
+over equal parts of the alphabet and over its kinds of characters, Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial
+correlation. A token's p-value is the Bonferroni combination of theirs. Over all tokens of the corpus, by class of
 length (longer tokens give the tests more power, so classes are not mixed), the Benjamini-Hochberg procedure finds the
 tokens that are not random at a false-discovery rate of `rate`; the others are reported.
 """
@@ -87,7 +87,7 @@ def chi2_tail(x: float, df: int) -> float:
 
 
 def randomness(token: str) -> float:
-    """Combined p-value of the three tests against uniform, independent symbols of the inferred encoding."""
+    """Combined p-value of the tests against uniform, independent symbols of the inferred encoding."""
     body = token.rstrip("=")
     alphabet = next((chars for _, chars in ENCODINGS if not set(body) - set(chars)), ENCODINGS[-1][1])
     v = [alphabet.index(c) for c in body]
@@ -100,6 +100,11 @@ def randomness(token: str) -> float:
     for s in v:
         counts[s * parts // m] += 1
     p = [chi2_tail(sum((c - n * e / m) ** 2 / (n * e / m) for c, e in zip(counts, expected)), parts - 1)]
+    kinds = [(sum(c in k for c in alphabet), sum(c in k for c in body)) for k in (_UP, _LOW)]
+    kinds.append((m - sum(e for e, _ in kinds), n - sum(c for _, c in kinds)))
+    kinds = [(n * e / m, c) for e, c in kinds if e]
+    if len(kinds) > 1:
+        p.append(chi2_tail(sum((c - e) ** 2 / e for e, c in kinds), len(kinds) - 1))
     high = [s >= m // 2 for s in v]
     a = sum(high)
     b = n - a
@@ -150,7 +155,7 @@ def not_random_below(tokens: DataFrame, rate: float) -> dict[int, int]:
     return {r.length_class: r.step for r in rejected.collect()}
 
 
-def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
+def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     spans names all spans, kind:start:end in code points by start and kind; those of kind random come from the battery.
