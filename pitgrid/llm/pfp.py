@@ -170,7 +170,8 @@ def _first(*columns: str) -> list:
 
 
 def _twice(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    """Keys of two rows or more; a table of its own, so that Spark can split the hot keys of the join that follows."""
+    return stash(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
 
 
 def repeated_parts(docs: DataFrame, length: int, reach: int) -> DataFrame:

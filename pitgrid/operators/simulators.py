@@ -1,0 +1,176 @@
+"""Order-dependent simulators: one group of rows a run, many runs side by side.
+
+Money is rounded at every step, so a run can't be split; runs (codes, scenarios, accounts) are what Spark
+distributes, and a run's rows come sorted by date through one shuffle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+from decimal import ROUND_CEILING, ROUND_HALF_UP, Decimal
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+CENT = Decimal("0.01")
+
+
+def cents(x: Decimal) -> Decimal:
+    return x.quantize(CENT, rounding=ROUND_HALF_UP)
+
+
+@dataclass(frozen=True)
+class Costs:
+    commission_rate: Decimal = Decimal("0.0003")
+    min_commission: Decimal = Decimal("5")
+    stamp_rate: Decimal = Decimal("0.0005")
+    slippage_bps: Decimal = Decimal("5")
+    lot: int = 100
+
+    def scaled(self, k: int) -> Costs:
+        return Costs(self.commission_rate * k, self.min_commission * k, self.stamp_rate * k, self.slippage_bps * k, self.lot)
+
+    def commission(self, gross: Decimal) -> Decimal:
+        return max(self.min_commission, cents(gross * self.commission_rate)) if gross > 0 and self.commission_rate else Decimal(0)
+
+
+def whole_lots(cash: Decimal, price: Decimal, costs: Costs) -> int:
+    n = int(cash / price) // costs.lot * costs.lot
+    while n > 0 and cents(price * n) + costs.commission(cents(price * n)) > cash:
+        n -= costs.lot
+    return n
+
+
+def run_single(rows: pd.DataFrame, cash: Decimal, costs: Costs) -> Iterator[tuple]:
+    """Follow a 0/1 target with one asset: (trade_date, action, reason, price, shares, fee, cash, receivable, equity).
+
+    Each day: payments and ex-date entitlements first (shares as of the record date), then yesterday's signal at the
+    open with adverse slippage (bought shares can't be sold the same day), then the close, then today's signal.
+    """
+    shares, pending, receivable = 0, None, Decimal(0)
+    for r in rows.itertuples(index=False):
+        cash, receivable = cash + receivable, Decimal(0)
+        if r.dividend and shares:
+            receivable = cents(Decimal(str(r.dividend)) * shares)
+        action, reason, price, done, fee = "", "", None, 0, Decimal(0)
+        if pending is not None and (pending == 1) != (shares > 0):
+            action = "BUY" if pending else "SELL"
+            if not r.open or r.open <= 0:
+                reason = "NO_OPEN"
+            elif not r.volume or r.volume <= 0:
+                reason = "ZERO_VOLUME"
+            else:
+                slip = 1 + (1 if pending else -1) * costs.slippage_bps / 10000
+                price = (Decimal(str(r.open)) * slip).quantize(Decimal("0.000001"), rounding=ROUND_HALF_UP)
+                done = whole_lots(cash, price, costs) if pending else shares
+                if not done:
+                    reason = "LESS_THAN_A_LOT"
+                else:
+                    gross = cents(price * done)
+                    fee = costs.commission(gross) + (Decimal(0) if pending else cents(gross * costs.stamp_rate))
+                    cash += -gross - fee if pending else gross - fee
+                    shares += done if pending else -done
+        equity = cash + receivable + cents(Decimal(str(r.close)) * shares)
+        yield r.trade_date, action, reason, price, done, fee, cash, receivable, equity
+        pending = None if pd.isna(r.signal) else int(r.signal)
+
+
+def simulate_single(bars: DataFrame, key: str = "code", initial_cash: str = "100000", costs: Costs = Costs()) -> DataFrame:
+    """run_single() for every key of bars: key, trade_date, open, close, volume, signal (0, 1, null), dividend."""
+    schema = f"{key} string, trade_date date, action string, reason string, price decimal(18,6), shares long, fee decimal(18,2), cash decimal(18,2), receivable decimal(18,2), equity decimal(18,2)"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(k[0], *x) for x in run_single(rows.sort_values("trade_date"), Decimal(initial_cash), costs)]
+        return pd.DataFrame(out, columns=names)
+
+    return bars.select(key, "trade_date", "open", "close", "volume", "signal", "dividend").groupBy(key).applyInPandas(run, schema)
+
+
+def run_portfolio(rows: pd.DataFrame, equity: Decimal, costs: Costs, exposure: Decimal = Decimal("0.95"), stale_limit: int = 60) -> Iterator[tuple]:
+    """Hold the scheduled codes in equal parts: (trade_date, code, side, amount, reason, cash, positions, equity).
+
+    Each date: values follow the closes (or grow stale), pending targets are traded, sells before buys and codes in order,
+    then the date's targets are kept for the next. A row with side '' closes a date.
+    """
+    cash, value, mark, stale, pending = equity, {}, {}, {}, None
+    for day, group in rows.groupby("trade_date", sort=True):
+        price = {r.code: (Decimal(str(r.open)), Decimal(str(r.close))) for r in group.itertuples(index=False) if r.close and r.close > 0}
+        for code in sorted(value):
+            if code in price:
+                value[code] = cents(value[code] * price[code][0] / mark[code])
+                mark[code], stale[code] = price[code][0], 0
+            else:
+                stale[code] += 1
+                if stale[code] > stale_limit:
+                    raise ValueError(f"{code} has had no price for {stale[code]} dates")
+        if pending:
+            wanted = cents((cash + sum(value.values())) * exposure / len(pending))
+            changes = [(c, (wanted if c in pending else Decimal(0)) - value.get(c, Decimal(0))) for c in sorted({*value, *pending})]
+            for side, sign in (("SELL", -1), ("BUY", 1)):
+                for code, change in changes:
+                    amount = change * sign
+                    if amount <= 0:
+                        continue
+                    if code not in price:
+                        yield day, code, side, Decimal(0), "MISSING_MARKET_ROW", None, None, None
+                        continue
+                    rate = costs.slippage_bps / 10000 + (costs.stamp_rate if sign < 0 else 0)
+                    if sign > 0:
+                        amount = min(amount, cents((cash - costs.min_commission) / (1 + rate + costs.commission_rate)))
+                    if amount < costs.min_commission:
+                        yield day, code, side, Decimal(0), "BELOW_MINIMUM", None, None, None
+                        continue
+                    fee = costs.commission(amount) + cents(amount * rate)
+                    cash += -amount - fee if sign > 0 else amount - fee
+                    value[code] = value.get(code, Decimal(0)) + sign * amount
+                    mark[code], stale[code] = price[code][0], 0
+                    if value[code] == 0:
+                        value.pop(code)
+                    yield day, code, side, amount, "", None, None, None
+        for code in sorted(value):
+            if code in price:
+                value[code] = cents(value[code] * price[code][1] / mark[code])
+                mark[code] = price[code][1]
+        yield day, "", "", Decimal(0), "", cash, len(value), cash + sum(value.values())
+        chosen = sorted(group.code[group.chosen.astype(bool)])
+        if chosen:
+            pending = chosen
+        elif pending:
+            pending = None
+
+
+def simulate_portfolios(rows: DataFrame, scenarios: dict[str, int], initial: str = "1000000") -> DataFrame:
+    """run_portfolio() for every scenario (column of rows: scenario, trade_date, code, open, close, chosen); scenarios
+    names the multiple of costs of each."""
+    schema = "scenario string, trade_date date, code string, side string, amount decimal(18,2), reason string, cash decimal(18,2), positions long, equity decimal(18,2)"
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        costs = Costs().scaled(scenarios[k[0]])
+        return pd.DataFrame([(k[0], *x) for x in run_portfolio(group, Decimal(initial), costs)], columns=names).astype({"positions": "Int64"})
+
+    return rows.groupBy("scenario").applyInPandas(run, schema)
+
+
+def greedy_by_group(candidates: DataFrame, group: list[str], order: list, mechanism: str, industry: str, per_mechanism: int, top: int) -> DataFrame:
+    """Of each group's candidates in order, take one an industry and at most so many a mechanism, up to `top`; a row that
+    is passed over uses nothing up. A fold over the group's sorted rows."""
+    listed = candidates.withColumn("_at", F.struct(*order, *[F.col(c) for c in candidates.columns if c not in group]))
+    folded = listed.groupBy(*group).agg(F.array_sort(F.collect_list("_at")).alias("rows"))
+    taken = F.filter("rows", lambda x: F.lit(False))
+
+    def step(acc, x):
+        same = lambda name: F.size(F.filter(acc, lambda y: y[name] == x[name]))
+        fits = (F.size(acc) < top) & (same(industry) == 0) & (same(mechanism) < per_mechanism)
+        return F.when(fits, F.concat(acc, F.array(x))).otherwise(acc)
+
+    kept = folded.select(*group, F.posexplode(F.aggregate("rows", taken, step)).alias("place", "r"))
+    return kept.select(*group, *[F.col(f"r.{c}").alias(c) for c in candidates.columns if c not in group], (F.col("place") + 1).cast("long").alias("place"))
+
+
+def slipped(price: Decimal, bps: Decimal) -> Decimal:
+    """A buyer's price with slippage, to the cent above."""
+    return (price * (1 + bps / 10000)).quantize(CENT, rounding=ROUND_CEILING)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitgrid.plans import gate_queries, panel_queries  # noqa: F401
+from pitgrid.plans import gate_queries, ledger_queries, panel_queries  # noqa: F401
 from pitgrid.plans.registry import REGISTRY, Query
 
 
