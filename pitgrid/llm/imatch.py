@@ -46,24 +46,37 @@ def lexicon(docs: DataFrame, min_idf: float = MIN_IDF, max_idf: float = MAX_IDF)
     return all_.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("found", none).alias("found")))), lambda s: s.found).alias("lexicon"))
 
 
-def used_terms(own: Column, known: Column) -> Column:
-    """own: a text's distinct terms; known: the lexicon. Sorted."""
-    listed = F.filter(own, lambda t: F.array_contains(F.element_at(known, (F.pmod(t, F.lit(_BUCKETS)) + 1).cast("int")), t))
-    return F.array_sort(F.when(F.size(listed) < MIN_TERMS, own).otherwise(listed))
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once: the optimizer would put a column used in one place into a lambda's body,
+    where it is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _hashes(used: Column) -> tuple[Column, Column]:
-    """The widest subsets, to be named widest_subsets, and the digits: hex digits a subset, share by share and draw by draw; 0 where the text has no term of it."""
+def used_terms(text: Column, known: Column) -> Column:
+    """A text's distinct terms that are in the lexicon `known`, sorted; all of them if they are fewer than MIN_TERMS."""
+
+    def choose(own: Column) -> Column:
+        bucket = lambda t: (F.pmod(t, F.lit(_BUCKETS)) + 1).cast("int")
+        listed = F.filter(own, lambda t: F.array_contains(F.element_at(known, bucket(t)), t))
+        return _let(listed, lambda x: F.array_sort(F.when(F.size(x) < MIN_TERMS, own).otherwise(x)))
+
+    return _let(terms(text), choose)
+
+
+def subset_hashes(used: Column) -> Column:
+    """Hex digits a subset, share by share and draw by draw; 0 where the text has no term of it."""
     draws = F.sequence(F.lit(0), F.lit(DRAWS - 1))
     part = lambda terms_, k, share: F.filter(terms_, lambda t: F.pmod(F.xxhash64(t, k), F.lit(share)) == 0)
     digits = lambda s: F.when(F.size(s) == 0, F.lit(_EMPTY)).otherwise(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(s), F.lit((1 << 4 * DIGITS) - 1)) + 1)), DIGITS, "0"))
-    widest = F.transform(draws, lambda k: F.struct(k.alias("k"), part(used, k, SHARES[0]).alias("s")))
 
-    def at_share(share: int) -> Column:
-        return F.transform(F.col("widest_subsets"), lambda x: digits(part(x.s, x.k, share) if share > SHARES[0] else x.s))
+    def at_share(widest: Column, share: int) -> Column:
+        return F.transform(widest, lambda x: _let(part(x.s, x.k, share) if share > SHARES[0] else x.s, digits))
 
-    shares = [at_share(n) for n in SHARES]
-    return widest, F.array_join(F.concat(*shares), "")
+    def of(terms_: Column) -> Column:
+        widest = F.transform(draws, lambda k: F.struct(k.alias("k"), part(terms_, k, SHARES[0]).alias("s")))
+        return _let(widest, lambda w: F.array_join(F.concat(*[at_share(w, n) for n in SHARES]), ""))
+
+    return _let(used, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,17 +95,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total("used") == 0, F.lit(1.0)).otherwise(total("same") / total("used"))
 
 
-def _with_known(df: DataFrame, known: DataFrame) -> DataFrame:
-    """The lexicon beside every row, as one value of bounded size that each task gets once."""
-    return df.withColumn("lexicon", known.scalar())
-
-
 def fingerprints(docs: DataFrame, known: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of a text column (null: empty) added."""
-    lexical = _with_known(docs.withColumn("own_terms", terms(F.coalesce(text, F.lit("")))), known)
-    widest, joined = _hashes(F.col("used_terms"))
-    used = lexical.withColumn("used_terms", used_terms(F.col("own_terms"), F.col("lexicon"))).drop("lexicon", "own_terms")
-    return used.withColumn("widest_subsets", widest).withColumn(name, joined).drop("used_terms", "widest_subsets")
+    """docs with the fingerprint of a text column (null: empty) added. The lexicon is one value of bounded size that each
+    task gets once."""
+    lexical = docs.withColumn("imatch_lexicon", known.scalar())
+    return lexical.withColumn(name, subset_hashes(used_terms(F.coalesce(text, F.lit("")), F.col("imatch_lexicon")))).drop("imatch_lexicon")
 
 
 def next_documents(keys: DataFrame) -> DataFrame:

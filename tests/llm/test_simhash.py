@@ -113,6 +113,6 @@ def test_edge_cases(spark):
 
 def test_one_document_of_each_class_stays(spark):
     docs = edge_docs(spark)
-    kept = keep_one_per_component(docs, 4, 4)
+    kept = keep_one_per_component(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 9, 9]
