@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions alone.
 
-Slots are handed out one block of documents at a time. Block j (from 0) of a source of weight w is released at slot
-floor(j / w) and due by slot ceil((j + 1) / w); each slot takes, of the released blocks, the one due first. With weights
-that sum to one every block is in time, so after any number of slots a source is less than one block off its share.
-
-Weights are whole numbers of slots in a period, so one period's schedule repeats for ever: it is folded once, over
-period x sources steps, and documents find their slots by joining it. Nothing but that table is sequential.
+Slots are handed out one block of documents at a time. Block j (from 0) of a source of weight w stands at time
+(j + 1/2) / w of a clock that all sources share, so at any time a source has had its weight's share to half a block.
+A source whose blocks are used up leaves the clock, and the others go on in proportion to their weights.
+
+The clock is cut into periods, and wherever a source runs out. Of a source's q blocks in a period of L slots, the one of
+turn j is released at slot floor(j L / q) of the period and due by slot ceil((j + 1) L / q); each slot takes, of the
+released blocks, the one due first, and with that every block is in time. Periods are folded each on its own, over slots
+x sources steps; only the sum of their lengths runs through them all.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pitgrid.llm.common import global_rank, stash
 
-#: Slots of a period: weights are rounded to this precision. Every source has one slot of a period at least.
+#: Slots of a period while no source has run out, but for rounding. Weights of 1 / PERIOD are the least.
 PERIOD = 1000
 BLOCK_DOCS = 4
 SMOOTHING = 0.7
@@ -28,10 +30,10 @@ def _key(source) -> F.Column:
 
 
 def source_weights(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataFrame | None = None, period: int = PERIOD) -> DataFrame:
-    """One row a source: source_key, n_docs, parts (slots of a period), period, target.
+    """One row a source: source_key, n_docs, target (they sum to one).
 
     Targets are given as (source, weight), or a source's number of documents to the power of `smoothing`. Sources without
-    a target, or with one that isn't positive, have no parts; a null source is a source of its own.
+    a target, or with one that isn't positive, have no row; a null source is a source of its own.
     """
     sizes = docs.groupBy(_key(F.col("source")).alias("source_key")).agg(F.count("*").alias("n_docs"))
     if targets is None:
@@ -41,13 +43,13 @@ def source_weights(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataF
         weighted = sizes.join(given, "source_key").where("weight > 0")
     everything = W.partitionBy(F.lit(0))  # a row a source
     parts = weighted.withColumn("parts", F.greatest(F.lit(1), F.round(F.col("weight") / F.sum("weight").over(everything) * period)).cast("long"))
-    whole = parts.withColumn("period", F.sum("parts").over(everything))
-    return whole.select("source_key", "n_docs", "parts", "period", (F.col("parts") / F.col("period")).alias("target"))
+    return parts.select("source_key", "n_docs", (F.col("parts") / F.sum("parts").over(everything)).alias("target"))
 
 
-def period_schedule(weights: DataFrame) -> DataFrame:
-    """(source_key, turn, slot_in_period): earliest deadline first over one period; ties go to the first source_key."""
-    listed = weights.agg(F.array_sort(F.collect_list(F.struct("source_key", "parts"))).alias("s"), F.max("period").alias("period"))
+def period_schedule(weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """([keys,] source_key, turn, slot_in_period): earliest deadline first over one period (one for each value of keys, if
+    given) of sources with `parts` slots of the `period`; ties go to the first source_key."""
+    listed = weights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source_key", "parts"))).alias("s"), F.max("period").alias("period"))
     period = F.col("period")
 
     def step(state, slot):
@@ -61,37 +63,63 @@ def period_schedule(weights: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<struct<i:int,turn:bigint>>").alias("order"))
-    folded = listed.where("period > 0").select("s", F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step).alias("state"))
-    slots = folded.select("s", F.posexplode("state.order").alias("slot_in_period", "o"))
-    return slots.select(F.element_at("s", F.col("o.i") + 1).source_key.alias("source_key"), F.col("o.turn").alias("turn"), F.col("slot_in_period").cast("long"))
+    folded = listed.where("period > 0").select(*keys, "s", F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step).alias("state"))
+    slots = folded.select(*keys, "s", F.posexplode("state.order").alias("slot_in_period", "o"))
+    return slots.select(*keys, F.element_at("s", F.col("o.i") + 1).source_key.alias("source_key"), F.col("o.turn").alias("turn"), F.col("slot_in_period").cast("long"))
+
+
+def block_slots(weights: DataFrame, blocks: DataFrame, period: int = PERIOD, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(source_key, block, release, deadline, slot, gone) of all blocks (source_key, block) of the sources in weights; gone
+    is the number of times before the block's period at which sources have run out."""
+    time = (F.col("block") + 0.5) / F.col("target")
+    ends = weights.select((F.ceil(F.col("n_docs") / block_docs) / F.col("target")).alias("end")).distinct()
+    ends = ends.withColumn("lap", F.floor(F.col("end") / period))
+    in_lap = ends.groupBy("lap").agg(F.collect_list("end").alias("ends"))
+    timed = blocks.join(F.broadcast(weights.select("source_key", "target")), "source_key").withColumn("time", time).withColumn("lap", F.floor(F.col("time") / period))
+    cut = timed.join(F.broadcast(in_lap), "lap", "left").withColumn("cut", F.coalesce(F.size(F.filter("ends", lambda e: e <= F.col("time"))), F.lit(0)))
+    parts = stash(cut.groupBy("lap", "cut", "source_key").agg(F.count("*").alias("parts"), F.min("block").alias("first_block")))
+    lengths = parts.groupBy("lap", "cut").agg(F.sum("parts").alias("period"))
+    in_order = W.partitionBy(F.lit(0)).orderBy("lap", "cut")  # a row a period
+    starts = lengths.withColumn("start", F.sum("period").over(in_order) - F.col("period"))
+    before = in_lap.select(F.col("lap").alias("lap_of_ends"), F.size("ends").alias("n_ends"))
+    earlier = starts.join(F.broadcast(before), F.col("lap_of_ends") < F.col("lap"), "left").groupBy("lap", "cut", "period", "start").agg(F.coalesce(F.sum("n_ends"), F.lit(0)).alias("before"))
+    periods = stash(earlier.select("lap", "cut", "period", "start", (F.col("before") + F.col("cut")).alias("gone")))
+    keyed = parts.join(periods, ["lap", "cut"])
+    dealt = keyed.repartition("lap", "cut")
+    turns = period_schedule(dealt, ("lap", "cut")).join(keyed, ["lap", "cut", "source_key"])
+    return turns.select(
+        "source_key", (F.col("first_block") + F.col("turn")).alias("block"),
+        (F.col("start") + F.floor(F.col("turn") * F.col("period") / F.col("parts"))).alias("release"),
+        (F.col("start") + F.ceil((F.col("turn") + 1) * F.col("period") / F.col("parts"))).alias("deadline"),
+        (F.col("start") + F.col("slot_in_period")).alias("slot"), "gone",
+    )
 
 
 def mix(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataFrame | None = None, block_docs: int = BLOCK_DOCS, seed: int = 23, period: int = PERIOD) -> DataFrame:
     """Each row of docs with its place in the mix.
 
     Returns doc_id, th (hash of the text), source, block (of its source, in a seeded random order), release, deadline,
-    slot, place (in the block) and in_mix: the mix ends before the first slot for which its source has no block left, for
-    from there on the targets can't be held. Rows of sources without a target have no slot. Nulls in any column, repeated
-    rows and ids are placed like any other; texts are only hashed; an empty table gives an empty one.
+    slot, place (in the block) and in_mix. A source that runs out hands its slots to the others, so all rows of sources
+    with a target have a slot and no source ends the mix. Only where targets are given, in_mix tells the rows up to the
+    slot from which a source is missing, as the given targets can't be held from there on; else it is all rows. Rows of
+    sources without a target have no slot. Nulls in any column, repeated rows and ids are placed like any other; texts
+    are only hashed; an empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("source").cast("string").alias("source"))
     rows = rows.withColumn("source_key", _key(F.col("source"))).withColumn("order_hash", F.xxhash64(F.lit(seed), "doc_id", "th"))
     weights = stash(source_weights(rows, smoothing, targets, period))
-    schedule = stash(period_schedule(weights))
-    ends = weights.withColumn("blocks", F.ceil(F.col("n_docs") / block_docs)).withColumn("turn", F.pmod("blocks", F.col("parts")))
-    missing = ends.join(schedule, ["source_key", "turn"]).agg(F.min(F.floor(F.col("blocks") / F.col("parts")) * F.col("period") + F.col("slot_in_period")).alias("mix_end"))
     ranked = global_rank(rows, ["source_key"], ["order_hash", "doc_id", "th"]).withColumn("block", F.floor(F.col("rank_in_group") / block_docs))
-    placed = ranked.join(weights.select("source_key", "parts", "period"), "source_key", "left").withColumn("turn", F.pmod("block", F.col("parts")))
-    placed = placed.join(F.broadcast(schedule), ["source_key", "turn"], "left")  # `period` and one slot a source at most
-    slot = F.floor(F.col("block") / F.col("parts")) * F.col("period") + F.col("slot_in_period")
-    return placed.withColumn("slot", slot).withColumn("mix_end", missing.scalar()).select(
-        "doc_id", "th", "source", "block",
-        F.floor(F.col("block") * F.col("period") / F.col("parts")).alias("release"), F.ceil((F.col("block") + 1) * F.col("period") / F.col("parts")).alias("deadline"),
-        "slot", F.pmod("rank_in_group", F.lit(block_docs)).cast("int").alias("place"), F.coalesce(F.col("slot") < F.col("mix_end"), F.lit(False)).alias("in_mix"),
+    ranked = stash(ranked.withColumn("place", F.pmod("rank_in_group", F.lit(block_docs)).cast("int")).drop("rank_in_group", "order_hash"))
+    slots = block_slots(weights, ranked.where("place = 0").select("source_key", "block"), period, block_docs)
+    held = F.lit(True) if targets is None else F.col("gone") == 0
+    return ranked.join(slots, ["source_key", "block"], "left").select(
+        "doc_id", "th", "source", "block", "release", "deadline", "slot", "place", (F.col("slot").isNotNull() & F.coalesce(held, F.lit(False))).alias("in_mix")
     )
 
 
 def keep_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs in the mix; all columns stay. What a source has beyond its share of the mix goes."""
-    chosen = mix(docs, **options).where("in_mix").select(F.col("doc_id").alias("mix_id"), F.col("th").alias("mix_th")).distinct()
-    return docs.join(chosen, docs.doc_id.cast("long").eqNullSafe(F.col("mix_id")) & (F.xxhash64(docs.text) == F.col("mix_th")), "left_semi")
+    """docs in the mix, sorted by slot; all columns stay. Repeated rows stand where the first of them does."""
+    placed = mix(docs, **options).where("in_mix").groupBy(F.col("doc_id").alias("mix_id"), F.col("th").alias("mix_th"), F.col("source").alias("mix_source"))
+    chosen = placed.agg(F.min(F.struct("slot", "place")).alias("mix_at"))
+    same = docs.doc_id.cast("long").eqNullSafe(F.col("mix_id")) & (F.xxhash64(docs.text) == F.col("mix_th")) & docs.source.cast("string").eqNullSafe(F.col("mix_source"))
+    return docs.join(chosen, same).orderBy("mix_at").select(*[docs[c] for c in docs.columns])

@@ -88,3 +88,13 @@ def test_edge_cases(spark):
     check(rows, 4)
     assert mix(empty_docs(spark)).count() == 0 and keep_mix(empty_docs(spark)).count() == 0
     assert mix(small_docs(spark)).count() == 200
+
+
+def test_a_source_of_one_row_does_not_end_the_mix(spark):
+    docs = spark.range(20_000).selectExpr("id doc_id", "cast(id as string) text", "if(id = 7, null, if(id % 10 < 7, 'hot', concat('s', id % 10))) source")
+    rows = mix(docs).collect()
+    assert all(r.in_mix for r in rows) and check(rows, 4) == len({(r.source, r.block) for r in rows})
+    kept = keep_mix(docs).collect()
+    assert len(kept) == 20_000
+    slot = {r.doc_id: (r.slot, r.place) for r in rows}
+    assert [slot[r.doc_id] for r in kept] == sorted(slot.values())
