@@ -2,6 +2,7 @@
 
 Slots are handed out one block of documents at a time. Block j (from 0) of a source of weight w stands at time
 (j + 1/2) / w of a clock that all sources share, so at any time a source has had its weight's share to half a block.
+After any number of slots, n sources of exact weights w are less than 2 + w n / 2 blocks off, however long the mix.
 A source whose blocks are used up leaves the clock, and the others go on in proportion to their weights.
 
 The clock is cut into periods, and wherever a source runs out. Of a source's q blocks in a period of L slots, the one of
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pitgrid.llm.common import global_rank, stash
 
-#: Slots of a period while no source has run out, but for rounding. Weights of 1 / PERIOD are the least.
+#: Slots of a period while no source has run out, but for rounding. Weights aren't rounded.
 PERIOD = 1000
 BLOCK_DOCS = 4
 SMOOTHING = 0.7
@@ -29,7 +30,7 @@ def _key(source) -> F.Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def source_weights(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataFrame | None = None, period: int = PERIOD) -> DataFrame:
+def source_weights(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataFrame | None = None) -> DataFrame:
     """One row a source: source_key, n_docs, target (they sum to one).
 
     Targets are given as (source, weight), or a source's number of documents to the power of `smoothing`. Sources without
@@ -42,8 +43,7 @@ def source_weights(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataF
         given = targets.groupBy(_key(F.col("source")).alias("source_key")).agg(F.sum("weight").cast("double").alias("weight"))
         weighted = sizes.join(given, "source_key").where("weight > 0")
     everything = W.partitionBy(F.lit(0))  # a row a source
-    parts = weighted.withColumn("parts", F.greatest(F.lit(1), F.round(F.col("weight") / F.sum("weight").over(everything) * period)).cast("long"))
-    return parts.select("source_key", "n_docs", (F.col("parts") / F.sum("parts").over(everything)).alias("target"))
+    return weighted.select("source_key", "n_docs", (F.col("weight") / F.sum("weight").over(everything)).alias("target"))
 
 
 def period_schedule(weights: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataFrame | None
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("source").cast("string").alias("source"))
     rows = rows.withColumn("source_key", _key(F.col("source"))).withColumn("order_hash", F.xxhash64(F.lit(seed), "doc_id", "th"))
-    weights = stash(source_weights(rows, smoothing, targets, period))
+    weights = stash(source_weights(rows, smoothing, targets))
     ranked = global_rank(rows, ["source_key"], ["order_hash", "doc_id", "th"]).withColumn("block", F.floor(F.col("rank_in_group") / block_docs))
     ranked = stash(ranked.withColumn("place", F.pmod("rank_in_group", F.lit(block_docs)).cast("int")).drop("rank_in_group", "order_hash"))
     slots = block_slots(weights, ranked.where("place = 0").select("source_key", "block"), period, block_docs)

@@ -98,3 +98,16 @@ def test_a_source_of_one_row_does_not_end_the_mix(spark):
     assert len(kept) == 20_000
     slot = {r.doc_id: (r.slot, r.place) for r in rows}
     assert [slot[r.doc_id] for r in kept] == sorted(slot.values())
+
+
+def test_unrounded_targets_hold_over_many_periods(spark):
+    exact = {"a": 0.5 + 0.0041, "b": 0.3 + 0.0043, "c": 0.1949 - 0.0084, "d": 0.005, "e": 0.0001}
+    docs = spark.range(30_000).selectExpr("id doc_id", "cast(id as string) text", "element_at(array('a', 'a', 'b', 'b', 'c', 'd'), cast(id % 6 + 1 as int)) source")
+    docs = docs.union(spark.range(30_000, 30_009).selectExpr("id", "cast(id as string)", "'e'"))
+    targets = spark.createDataFrame(list(exact.items()), "source string, weight double")
+    rows = [r for r in mix(docs, targets=targets, block_docs=1, period=100).collect() if r.in_mix]
+    assert len(rows) > 15_000
+    have = Counter()
+    for t, r in enumerate(sorted(rows, key=lambda r: r.slot)):
+        have[r.source] += 1
+        assert r.slot == t and all(abs(have[s] - (t + 1) * w) < 2 + w * len(exact) / 2 for s, w in exact.items())
