@@ -291,8 +291,14 @@ def dividend_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SF20 SF21 SF22", with_parts("fills") + """, c AS (SELECT fill_id, price, CAST(20000 + fill_id % 977 * 13 AS DECIMAL(18,2)) AS cash FROM fills WHERE price > 0)
     SELECT fill_id, (SELECT max(n) FROM range(0, 40000) r(n) WHERE n = 0 OR CAST(price * n * 100 AS DECIMAL(18,2)) + greatest(CAST(5 AS DECIMAL(18,2)), CAST(round(CAST(price * n * 100 AS DECIMAL(18,2)) * 0.0003, 2) AS DECIMAL(18,2))) <= cash) * 100 AS shares FROM c WHERE fill_id % 50 = 3""")
 def affordable_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest affordable number of lots; the oracle tries every one (of every fiftieth row)."""
-    c = A.fills(spark, sf_dir).where("price > 0 and fill_id % 50 = 3").withColumn("cash", (20000 + F.col("fill_id") % 977 * 13).cast("decimal(18,2)"))
+    """Every fiftieth row of affordable_shares_all, as the oracle tries every number of lots."""
+    return affordable_shares_all(spark, sf_dir).where("fill_id % 50 = 3")
+
+
+@query("SF20 SF21 SF22", None)
+def affordable_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest affordable number of lots of every fill; tested by trying every one."""
+    c = A.fills(spark, sf_dir).where("price > 0").withColumn("cash", (20000 + F.col("fill_id") % 977 * 13).cast("decimal(18,2)"))
     return c.select("fill_id", S.affordable_lots(F.col("cash"), F.col("price"), "0.0003", "5").alias("shares"))
 
 

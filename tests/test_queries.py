@@ -33,3 +33,24 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() >= 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_affordable_shares_of_every_fill(spark):
+    """Against trying every number of lots, in cents: no row with a price is left out."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from pitgrid.plans import adapters
+
+    fills = [r for r in adapters.fills(spark, SF).select("fill_id", "price").collect() if r.price is not None and r.price > 0]
+
+    def plain(r):
+        cash, n = Decimal(20000 + r.fill_id % 977 * 13), 0
+        while True:
+            gross = r.price * (n + 1) * 100
+            if gross + max(Decimal(5), (gross * Decimal("0.0003")).quantize(Decimal("0.01"), ROUND_HALF_UP)) > cash:
+                return n * 100
+            n += 1
+
+    want = {r.fill_id: plain(r) for r in fills}
+    got = {r.fill_id: r.shares for r in REGISTRY["affordable_shares_all"].run(spark, SF).collect()}
+    assert got == want and len(want) > 500
