@@ -77,3 +77,11 @@ def test_spans_are_code_points_and_edge_cases(spark):
     got = find_secrets(edge_docs(spark)).collect()
     assert len(got) == 12 and all(x.spans == "" for x in got if x.doc_id in (1, 2, 3, 4, 5))
     assert find_secrets(empty_docs(spark)).count() == 0
+
+
+def test_values_directly_after_an_equals_sign():
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLE3KEY"
+    for before, after in (("aws_access_key_id=", ""), ("export NAME=", "\n"), ("https://h/x?sig=", "&se=1"), ("?a=1&sig=", "=="), ("NAME = ", ""), ('NAME="', '"')):
+        end = len(before) + len(key) + (2 if after == "==" else 0)
+        assert [c[:2] for c in candidates(before + key + after)] == [(len(before), end)]
+    assert candidates(f"{key}x=") and not candidates("n=short1")
