@@ -212,8 +212,9 @@ def _samples(tables: int, bits: int):
     return run
 
 
-def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = TABLES, block_rows: int = 2000) -> DataFrame:
-    """(doc_id, component_id): near-duplicate classes of texts whose shingle sets are about `similarity` alike or more.
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = TABLES, block_rows: int = 2000) -> DataFrame:
+    """(doc_id, th, row_key, root): near-duplicate classes of texts whose shingle sets are about `similarity` alike or more,
+    with hashes of the text and of the whole row; root names the class.
 
     Fingerprints within wide_radius(similarity) bits are linked where they meet in a shard. Shards are `tables` samples
     of 4 bits more than the binary logarithm of the number of fingerprints: a pair at 0.8 meets with a chance of 0.93
@@ -225,20 +226,26 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [wide_fingerprint(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.binary())], ["doc_id", "th", "row_key", "fp"])
 
-    fps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp binary")
-    fps = stash(fps.withColumn("id", F.xxhash64("fp")))
-    nodes = stash(fps.groupBy("id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least_id")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.xxhash64(*docs.columns).alias("row_key"), "text")
+    fps = stash(rows.mapInArrow(run, "doc_id long, th long, row_key long, fp binary").withColumn("id", F.xxhash64("fp")))
+    nodes = stash(fps.groupBy("id").agg(F.first("fp").alias("fp")))
     bits = max(8, min(48, 4 + nodes.count().bit_length()))
     dealt = nodes.select("id", "fp").mapInArrow(_samples(tables, bits), "id long, key long")
     keys = ["key", "side_a", "side_b"]
     met = meet_in_blocks(dealt, ["key"], "id", block_rows).select(*keys, "side", "id").join(nodes.select("id", "fp"), "id")
     links = met.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_shard_links(wide_radius(similarity), keys), "a long, b long")
     roots = connected_components(links, "a", "b")
-    rooted = nodes.join(roots, nodes.id == roots.node, "left").select("id", "least_id", F.coalesce("root", "id").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return fps.select("doc_id", "id").join(rooted.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+    rooted = fps.join(roots, fps.id == roots.node, "left")
+    return rooted.select("doc_id", "th", "row_key", F.coalesce("root", "id").alias("root"))
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+    """(doc_id, component_id): similar_classes() named by their smallest doc_id."""
+    rooted = stash(similar_classes(docs, width, similarity, **options))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "component_id")
 
 
 def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
@@ -262,3 +269,15 @@ def keep_one_per_component(docs: DataFrame, width: int = 5, similarity: float =
     """docs without all but the document of the smallest doc_id of each near-duplicate class; all columns stay."""
     kept = similar_components(docs, width, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def keep_one_row_per_class(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with exactly one row of each near-duplicate class; all columns stay.
+
+    The first row by doc_id (null last), text and whole row (hashes of both) stays. Rows that are alike in all columns
+    count as one; a doc_id that occurs with different texts is as many documents.
+    """
+    first = similar_classes(docs, width, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "row_key")).alias("kept"))
+    keyed = docs.withColumn("_row_key", F.xxhash64(*docs.columns))
+    kept = keyed.join(first.select(F.col("kept.row_key").alias("_row_key")), "_row_key", "left_semi")
+    return kept.dropDuplicates(["_row_key"]).select(*docs.columns)

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from pitgrid.llm.common import meet_in_blocks
 from pitgrid.llm.components import connected_components
-from pitgrid.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one_per_component, simhash_components
+from pitgrid.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one_per_component, keep_one_row_per_class, simhash_components
 
 from .corpus import edge_docs, empty_docs, small_docs, small_pandas
 
@@ -116,3 +116,13 @@ def test_one_document_of_each_class_stays(spark):
     kept = keep_one_per_component(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 9, 9]
+
+
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    docs = edge_docs(spark)
+    kept = keep_one_row_per_class(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept.collect()) == [(0, "a row wit"), (1, ""), (4, "one"), (6, "word0 and"), (9, "È é ß 漢字 ")]
+    long = " ".join(f"w{i}" for i in range(99))
+    twice = spark.createDataFrame([(5, "one text"), (5, long), (7, long), (None, "alone"), (None, "alone")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in keep_one_row_per_class(twice).collect()) == [(0, "alone"), (5, "one text"), (5, long)]
