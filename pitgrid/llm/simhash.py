@@ -8,8 +8,9 @@ of the six. Each of the 15 pairs of blocks deals the fingerprints to shards by t
 within the radius of the distance. No link is lost, and shards larger than a bound meet chunk by chunk.
 
 Texts of a given similarity (rather than a given distance in bits) differ in far more bits than such shards allow:
-shingle sets of Jaccard similarity 0.8 differ in 15 % of them. similar_components() therefore takes WIDE_WORDS times as
-many bits, so that the distance tells the similarity closely, and shards by many random samples of them.
+shingle sets of Jaccard similarity 0.8 differ in 15 % of them. similar_classes() therefore takes WIDE_WORDS times as
+many bits, so that the distance tells the similarity closely, shards by many random samples of them, and compares exactly
+what these find.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-#: similar_components(): 64-bit words of a fingerprint, and samples of its bits.
+#: similar_classes(): 64-bit words of a fingerprint, and the least number of samples of its bits.
 WIDE_WORDS, TABLES = 4, 96
+#: Share of the pairs at the asked similarity that meet in no sample.
+MISSED = 0.005
+#: Up to so many keys of candidate texts are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
 _MIX = np.random.Generator(np.random.PCG64(41)).integers(0, 1 << 63, (WIDE_WORDS, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -69,7 +74,10 @@ def fingerprint(text: str | None, width: int) -> int:
 
 def wide_fingerprint(text: str | None, width: int) -> bytes:
     """SimHash of WIDE_WORDS times 64 bits, from as many mixes of the shingles' hashes."""
-    hashes = shingle_hashes(text, width)
+    return wide_majority(shingle_hashes(text, width))
+
+
+def wide_majority(hashes: np.ndarray) -> bytes:
     out = []
     for times, xor in _MIX:
         h = (hashes ^ xor) * times
@@ -212,33 +220,91 @@ def _samples(tables: int, bits: int):
     return run
 
 
-def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = TABLES, block_rows: int = 2000) -> DataFrame:
-    """(doc_id, th, row_key, root): near-duplicate classes of texts whose shingle sets are about `similarity` alike or more,
-    with hashes of the text and of the whole row; root names the class.
+def tables_for(n: int, similarity: float) -> tuple[int, int]:
+    """(tables, bits of a sample) with which a pair of this similarity among n fingerprints meets with a chance of 1 - MISSED."""
+    bits = max(8, min(48, 4 + n.bit_length()))
+    met = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(MISSED) / math.log1p(-met))), bits
+
+
+def candidate_radius(similarity: float) -> int:
+    """Bits in which sets of this Jaccard similarity differ on average, and three standard deviations more."""
+    n, p = 64 * WIDE_WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(n * p + 3 * math.sqrt(n * p * (1 - p)))
+
+
+def _verify(width: int, similarity: float):
+    """Exact links of the candidate classes that arrive sorted: a set is compared with each class found so far until one of
+    its members is alike, so members of one class aren't compared needlessly and no link is lost."""
+    keys = ["root", "side_a", "side_b"]
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        if not similarity * len(a) <= len(b) <= len(a) / similarity:
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, keys):
+            starts = [*group_starts(table, keys).tolist(), table.num_rows]
+            ids, left, right = table["set_id"].to_numpy().tolist(), [], []
+            for lo, hi in zip(starts, starts[1:]):
+                classes: list[list[tuple[int, np.ndarray]]] = []
+                for i in range(lo, hi):
+                    own, joined, rest = np.unique(shingle_hashes(table["text"][i].as_py(), width)), [], []
+                    for members in classes:
+                        link = next((x for x, other in members if alike(own, other)), None)
+                        if link is None:
+                            rest.append(members)
+                        else:
+                            left.append(ids[i])
+                            right.append(link)
+                            joined += members
+                    classes = [*rest, [*joined, (ids[i], own)]]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, block_rows: int = 2000, verify_rows: int = 500) -> DataFrame:
+    """(doc_id, th, row_key, root): near-duplicate classes of texts, with hashes of the text and of the whole row; root
+    names the class.
 
-    Fingerprints within wide_radius(similarity) bits are linked where they meet in a shard. Shards are `tables` samples
-    of 4 bits more than the binary logarithm of the number of fingerprints: a pair at 0.8 meets with a chance of 0.93
-    over a quarter of a million fingerprints, one at 0.9 with one of 0.999. Nulls, repeats and empty texts as in
-    simhash_components().
+    Texts whose sets of shingles have a Jaccard similarity of `similarity` or more are linked and links closed
+    transitively. Candidates are fingerprints of the sets within candidate_radius() bits that meet in a shard; shards are
+    samples of 4 bits more than the binary logarithm of the number of fingerprints, in as many tables as hold a pair's
+    chance to meet at 1 - MISSED whatever that number is. Within the classes that candidates make, sets are compared
+    exactly. Nulls, repeats and empty texts as in simhash_components().
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [wide_fingerprint(t, width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps, pa.binary())], ["doc_id", "th", "row_key", "fp"])
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            fps = [wide_majority(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids), pa.array(fps, pa.binary())], ["doc_id", "th", "row_key", "set_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.xxhash64(*docs.columns).alias("row_key"), "text")
-    fps = stash(rows.mapInArrow(run, "doc_id long, th long, row_key long, fp binary").withColumn("id", F.xxhash64("fp")))
-    nodes = stash(fps.groupBy("id").agg(F.first("fp").alias("fp")))
-    bits = max(8, min(48, 4 + nodes.count().bit_length()))
+    found = stash(rows.mapInArrow(run, "doc_id long, th long, row_key long, set_id long, fp binary").withColumn("id", F.xxhash64("fp")))
+    nodes = stash(found.groupBy("id").agg(F.first("fp").alias("fp")))
+    tables, bits = tables_for(nodes.count(), similarity)
     dealt = nodes.select("id", "fp").mapInArrow(_samples(tables, bits), "id long, key long")
     keys = ["key", "side_a", "side_b"]
     met = meet_in_blocks(dealt, ["key"], "id", block_rows).select(*keys, "side", "id").join(nodes.select("id", "fp"), "id")
-    links = met.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_shard_links(wide_radius(similarity), keys), "a long, b long")
-    roots = connected_components(links, "a", "b")
-    rooted = fps.join(roots, fps.id == roots.node, "left")
-    return rooted.select("doc_id", "th", "row_key", F.coalesce("root", "id").alias("root"))
+    links = met.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_shard_links(candidate_radius(similarity), keys), "a long, b long")
+    near = connected_components(links, "a", "b")
+    sets = found.groupBy("id", "set_id").agg(F.min("th").alias("th"))  # equal sets are one, whatever their texts
+    rooted = sets.join(near, sets.id == near.node, "left").select("set_id", "th", F.coalesce("root", "id").alias("root"))
+    asked = stash(meet_in_blocks(rooted, ["root"], "set_id", verify_rows).select("root", "side_a", "side_b", "set_id", "th"))
+    wanted = asked.select("th").distinct()
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(F.broadcast(wanted) if asked.count() <= BROADCAST_TEXTS else wanted, "th", "left_semi")
+    texts = texts.groupBy("th").agg(F.first("text").alias("text"))
+    keys = ["root", "side_a", "side_b"]
+    checked = asked.join(texts, "th").select(*keys, "set_id", "text").repartition(*keys).sortWithinPartitions(*keys, "set_id")
+    exact = connected_components(checked.mapInArrow(_verify(width, similarity), "a long, b long"), "a", "b")
+    classes = found.join(exact, found.set_id == exact.node, "left")
+    return classes.select("doc_id", "th", "row_key", F.coalesce("root", "set_id").alias("root"))
 
 
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, **options) -> DataFrame:

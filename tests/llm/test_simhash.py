@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from pitgrid.llm.common import meet_in_blocks
 from pitgrid.llm.components import connected_components
-from pitgrid.llm.simhash import BKTree, fingerprint, fingerprint_links, keep_one_per_component, keep_one_row_per_class, simhash_components
+from pitgrid.llm.simhash import MISSED, BKTree, fingerprint, fingerprint_links, keep_one_per_component, keep_one_row_per_class, similar_components, simhash_components, tables_for
 
 from .corpus import edge_docs, empty_docs, small_docs, small_pandas
 
@@ -126,3 +126,29 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark):
     long = " ".join(f"w{i}" for i in range(99))
     twice = spark.createDataFrame([(5, "one text"), (5, long), (7, long), (None, "alone"), (None, "alone")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in keep_one_row_per_class(twice).collect()) == [(0, "alone"), (5, "one text"), (5, long)]
+
+
+def test_classes_are_those_of_exact_similarity(spark):
+    """Against all pairs: copies on either side of 0.8, some (0.7) within the bits but not alike."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        texts.append(" ".join(words))
+        for gap in (30, 40, 47, 70):  # one edit changes five shingles: similarity 0.71, 0.78, 0.81, 0.87
+            texts.append(" ".join(f"e{k}x{gap}x{i}" if i % gap == gap // 2 else w for i, w in enumerate(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i - i % 5, i):  # texts of different k share nothing
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] != root[i] for i in got) <= 2 and len(set(root)) > 120
+
+
+def test_chance_to_meet_does_not_fall_with_the_corpus():
+    for n in (1000, 40_000, 250_000, 2_000_000, 11_000_000):
+        tables, bits = tables_for(n, 0.8)
+        assert (1 - (1 - np.arccos(1.6 / 1.8) / np.pi) ** bits) ** tables <= MISSED * 1.0001
