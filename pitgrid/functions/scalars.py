@@ -90,10 +90,12 @@ def whole_lots(budget: Column, price: Column, lot: int = 100) -> Column:
 
 
 def affordable_lots(cash: Column, price: Column, rate: str, least: str, lot: int = 100) -> Column:
-    """Largest number of whole lots whose cost and commission cash covers: an estimate, corrected by a lot either way."""
-    guess = F.floor(F.greatest(cash - F.lit(least).cast("decimal(18,2)"), F.lit(0)) / price / lot)
-    cost = lambda n: (price * n * lot).cast("decimal(18,2)") + commission((price * n * lot).cast("decimal(18,2)"), rate, least)
-    tries = F.array(*[F.greatest((guess + k).cast("bigint"), F.lit(0).cast("bigint")) for k in (-2, -1, 0, 1)])
+    """Largest number of whole lots whose cost and commission cash covers. The commission is either the least or a share, so
+    the answer lies within a lot of what either alone would allow."""
+    unit = price * lot
+    guesses = [F.floor((cash - F.lit(least).cast("decimal(18,2)")) / unit), F.floor(cash / (unit * (1 + F.lit(rate).cast("decimal(8,6)"))))]
+    cost = lambda n: (unit * n).cast("decimal(18,2)") + commission((unit * n).cast("decimal(18,2)"), rate, least)
+    tries = F.array(*[F.greatest((guess + k).cast("bigint"), F.lit(0).cast("bigint")) for guess in guesses for k in (-1, 0, 1)])
     return F.coalesce(F.array_max(F.filter(tries, lambda n: (n == 0) | (cost(n) <= cash))), F.lit(0).cast("bigint")) * lot
 
 

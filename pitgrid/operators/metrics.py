@@ -28,22 +28,51 @@ def period_metrics(series: DataFrame, start: str, end: str, key: str = "code", d
 
 
 def rolling_windows(series: DataFrame, length: int, step: int, key: str = "code", date: str = "trade_date", value: str = "close") -> DataFrame:
-    """Return and worst drawdown of the windows of `length` steps that end on every `step`-th row."""
+    """Return and worst drawdown of the windows of `length` steps (a multiple of `step`) that end on every `step`-th row.
+
+    Rows are folded once, into blocks of `step` rows with their extremes; a window is one row and whole blocks after it.
+    """
+    if length % step:
+        raise ValueError("a window must be whole blocks")
     w = W.partitionBy(key).orderBy(date)
-    s = series.select(key, date, value, (F.row_number().over(w) - 1).alias("i"), F.collect_list(value).over(w.rowsBetween(-length, 0)).alias("path"))
-    ends = s.where((F.col("i") >= length) & ((F.col("i") - length) % step == 0))
-    fold = F.aggregate("path", F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst")), lambda a, x: F.struct(F.greatest(a.peak, x).alias("peak"), F.least(a.worst, x / F.greatest(a.peak, x) - 1).alias("worst")), lambda a: a.worst)
-    return ends.select(key, date, (F.col(value) / F.element_at("path", 1) - 1).alias("window_return"), fold.alias("worst_drawdown"))
+    s = series.select(key, date, F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("i")).withColumn("block", F.ceil(F.col("i") / step))
+    s = s.withColumn("high", F.max("v").over(W.partitionBy(key, "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    blocks = s.groupBy(key, "block").agg(
+        F.count("*").alias("n"), F.max_by(date, "i").alias(date), F.max_by("v", "i").alias("last"), F.max("v").alias("peak"), F.min("v").alias("low"), F.min(F.col("v") / F.col("high") - 1).alias("worst"))
+    over, many = W.partitionBy(key).orderBy("block"), length // step
+    parts = F.collect_list(F.struct("peak", "low", "worst")).over(over.rowsBetween(1 - many, 0))
+    ends = blocks.select(key, date, "block", "n", "last", F.lag("last", many).over(over).alias("base"), parts.alias("parts")).where((F.col("block") >= many) & (F.col("n") == step))
+    start = F.struct(F.col("base").alias("peak"), F.lit(0.0).alias("worst"))
+    fold = F.aggregate("parts", start, lambda a, x: F.struct(F.greatest(a.peak, x.peak).alias("peak"), F.least(a.worst, x.worst, x.low / a.peak - 1).alias("worst")), lambda a: a.worst)
+    return ends.select(key, date, (F.col("last") / F.col("base") - 1).alias("window_return"), fold.alias("worst_drawdown"))
+
+
+def stability(windows: DataFrame, key: str = "code") -> DataFrame:
+    """A row a key over its rolling windows: how many, the share with a gain, the extremes, the worst drawdown."""
+    return windows.groupBy(key).agg(
+        F.count("*").alias("windows"), (F.count_if(F.col("window_return") > 0) / F.count("*")).alias("positive_share"),
+        F.min("window_return").alias("min_return"), F.max("window_return").alias("max_return"), F.min("worst_drawdown").alias("worst_drawdown"),
+    )
+
+
+def dominated(metrics: DataFrame, benchmark: DataFrame, key: str = "code") -> DataFrame:
+    """metrics with dominated: no better than the benchmark's one row in return, drawdown and Sharpe ratio alike."""
+    b = benchmark.select(*[F.col(c).alias(f"of_{c}") for c in ("total_return", "max_drawdown", "sharpe")])
+    no_better = [F.col(c) <= F.col(f"of_{c}") for c in ("total_return", "max_drawdown", "sharpe")]
+    return metrics.crossJoin(F.broadcast(b)).select(*metrics.columns, F.coalesce(no_better[0] & no_better[1] & no_better[2], F.lit(False)).alias("dominated"))
 
 
 def total_return_index(bars: DataFrame, dividends: DataFrame, base: float = 1000.0, key: str = "code") -> DataFrame:
-    """Index of close plus dividends (key, ex_date, cash) paid into it on their ex dates."""
+    """Index of close plus dividends (key, ex_date, cash) paid into it on their ex dates, from the first bar on.
+
+    The product telescopes: only ex dates add a factor to the ratio of closes, so only they carry rounding."""
     w = W.partitionBy(key).orderBy("trade_date")
     cash = dividends.groupBy(key, F.col("ex_date").alias("trade_date")).agg(F.sum("cash").alias("cash"))
     s = bars.join(cash, [key, "trade_date"], "left")
-    growth = F.coalesce((F.col("close") + F.coalesce("cash", F.lit(0.0))) / F.lag("close").over(w), F.lit(1.0))
-    s = s.withColumn("growth", growth)
-    return s.withColumn("total_return_index", base * F.exp(F.sum(F.log("growth")).over(w.rowsBetween(W.unboundedPreceding, 0))))
+    s = s.withColumn("paid_in", F.when(F.row_number().over(w) > 1, F.log((F.col("close") + F.col("cash").cast("double")) / F.col("close"))))
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    growth = F.col("close") / F.first("close").over(so_far) * F.exp(F.coalesce(F.sum("paid_in").over(so_far), F.lit(0.0)))
+    return s.withColumn("total_return_index", base * growth).drop("paid_in")
 
 
 def rank_correlation(df: DataFrame, by: str, x: str, y: str, tie: str) -> DataFrame:

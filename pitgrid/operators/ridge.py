@@ -33,16 +33,18 @@ def gram(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def fit(df: DataFrame, features: list[str], label: str, alpha: float = 10.0, min_rows: int = 24) -> Ridge:
-    """Features standardized by their population deviation (1 where it is 0); the intercept is not penalised."""
-    g = gram(df, features, label).first()
-    n = g["n"]
+    """Features standardized by their population deviation (1 where it is 0); the intercept is not penalised. Means come
+    first, products of centred values in a second pass, so that large means cost no digits."""
+    names = [*features, label]
+    d = df.dropna(subset=names)
+    first = d.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    n = first["n"]
     if n < min_rows:
         raise ValueError(f"{n} rows are too few")
     k = len(features)
-    names = [*features, label]
-    mean = np.array([g[f"s_{a}"] / n for a in names])
-    product = np.array([[g[f"p_{names[min(i, j)]}_{names[max(i, j)]}"] for j in range(k + 1)] for i in range(k + 1)])
-    cov = product / n - np.outer(mean, mean)
+    mean = np.array([first[c] for c in names])
+    g = gram(d.select(*[(F.col(c) - float(m)).alias(c) for c, m in zip(names, mean)]), features, label).first()
+    cov = np.array([[g[f"p_{names[min(i, j)]}_{names[max(i, j)]}"] for j in range(k + 1)] for i in range(k + 1)]) / n
     scale = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
     scale[scale == 0] = 1.0
     x = n * cov[:k, :k] / np.outer(scale, scale)

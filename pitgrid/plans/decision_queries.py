@@ -207,16 +207,6 @@ def dividend_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("code", "trade_date", *[F.round(v, 6).alias(n) for n, v in (("gain", gain), ("dividend", F.col("close")), ("tax", F.col("close") * 0.2), ("net", gain + F.col("close") * 0.8))])
 
 
-@query("LG13", with_parts("fills") + "SELECT account, 'MATCH' AS verdict, CAST(sum(CASE WHEN side = 'BUY' THEN shares ELSE -shares END) AS BIGINT) AS shares FROM fills WHERE side IS NOT NULL GROUP BY 1")
-def journal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last line of each account's running journal against a replay of its fills."""
-    f = A.fills(spark, sf_dir).where("side is not null").withColumn("signed", F.when(F.col("side") == "BUY", F.col("shares")).otherwise(-F.col("shares")))
-    running = F.sum("signed").over(W.partitionBy("account").orderBy("ts", "fill_id").rowsBetween(W.unboundedPreceding, 0))
-    journal = f.withColumn("running", running).groupBy("account").agg(F.max_by("running", F.struct("ts", "fill_id")).alias("last"))
-    j = f.groupBy("account").agg(F.sum("signed").alias("shares")).join(journal, "account", "left")
-    return j.select("account", F.when(F.col("last").eqNullSafe(F.col("shares")), "MATCH").otherwise("DIFFERS").alias("verdict"), "shares")
-
-
 @query("LG14", """WITH a AS (SELECT l_orderkey AS k, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 10 <> 0 OR l_linenumber <> 1) GROUP BY 1)
     SELECT a.k, CASE WHEN b.n IS NULL THEN 'NO_REVIEW' WHEN a.n = b.n THEN 'BOUND' ELSE 'INCOMPLETE' END AS verdict FROM a LEFT JOIN b USING (k)""")
 def review_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,14 +217,6 @@ def review_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("k", F.when(F.col("review").isNull(), "NO_REVIEW").when(F.col("review") == F.col("journal"), "BOUND").otherwise("INCOMPLETE").alias("verdict"))
 
 
-@query("MT05", with_parts("monthly") + "SELECT code, 'same' AS verdict FROM monthly GROUP BY 1")
-def metrics_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Total return as the product of the bars' returns against that from both ends."""
-    m = A.monthly(spark, sf_dir).withColumn("r", F.ln(F.col("close") / P.lagged("close", 1)))
-    g = m.groupBy("code").agg(F.exp(F.coalesce(F.sum("r"), F.lit(0.0))).alias("a"), (F.max_by("close", "trade_date") / F.min_by("close", "trade_date")).alias("b"))
-    return g.select("code", F.when(F.abs(F.col("a") / F.col("b") - 1) < 1e-9, "same").otherwise("differs").alias("verdict"))
-
-
 @query("AU06", "SELECT * FROM (VALUES ('too_many', 0), ('nation_twice', 0), ('segment_thrice', 0), ('not_best_first', 0)) v(rule, broken)")
 def watchlist_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The caps of the watchlist, counted anew, and its order."""

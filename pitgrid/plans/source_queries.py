@@ -114,11 +114,12 @@ def parsed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.withColumn("missing", F.col("balance").isNull().cast("int"))
 
 
-@query("PF03 PF04", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, false AS historical_use_allowed FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'")
+@query("PF03 PF04", "SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AS in_range, false AS historical_use_allowed FROM lineitem")
 def calendar_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both ends belong to the range; the filter reaches the scan."""
-    days = T(spark, sf_dir, "lineitem").where(F.col("l_shipdate").between(F.lit("1996-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp"))).select(F.to_date("l_shipdate").alias("trade_date")).distinct()
-    return G.require_unique(days, "trade_date").withColumn("historical_use_allowed", F.lit(False))
+    """Every date, and whether it lies in a range to which both ends belong."""
+    days = T(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")).distinct()
+    inside = F.col("trade_date").between(F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date"))
+    return G.require_unique(days, "trade_date").withColumn("in_range", inside).withColumn("historical_use_allowed", F.lit(False))
 
 
 _EXPECTED = {"region": 5, "nation": 25, "part": 7, "supplier": None}
