@@ -43,13 +43,18 @@ def cut_plan(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 class TokenIds(dict):
-    """Little-endian 32-bit ids by pre-token, from the tokenizer's own BPE model; misses are encoded once."""
+    """Little-endian 32-bit ids by pre-token, from the tokenizer's own BPE model; misses are encoded once.
 
-    def __init__(self, tokenizer_path: str, pattern: str) -> None:
+    A text that holds one of the tokenizer's added tokens is encoded by the tokenizer itself, which reads it as that token
+    (`added_as_text`: as ordinary text)."""
+
+    def __init__(self, tokenizer_path: str, pattern: str, added_as_text: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(tokenizer_path).model
+        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.model = self.whole.model
+        self.added = [] if added_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -63,17 +68,19 @@ class TokenIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.__getitem__, self.split(text)))
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, with_ids: bool = False, added_as_text: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, piece_class[, ids]: the pieces of every row of docs."""
     small_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_class int" + ", ids binary" * with_ids
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TokenIds(tokenizer_path, pattern)
+        encoder = TokenIds(tokenizer_path, pattern, added_as_text)
         for batch in batches:
             out: list[list] = [[] for _ in range(6 + with_ids)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -104,14 +111,15 @@ def _merge_part_filled(loads: list[tuple[int, int]], capacity: int) -> dict[int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, with_ids: bool = False, added_as_text: bool = False) -> DataFrame:
     """Pack all rows of docs (doc_id, text; other columns are ignored) into sequences of at most `capacity` tokens.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, the ids
-    (little-endian 32-bit) themselves. Null and empty texts are the end id alone; repeated rows and rows of a null
+    (little-endian 32-bit) themselves. Ids are those of Tokenizer.encode(text, add_special_tokens=False), so the string of
+    an added token is that token, unless added_as_text. Null and empty texts are the end id alone; repeated rows and rows of a null
     doc_id are packed one by one; very long texts fill whole sequences. An empty table gives an empty one.
     """
-    pieces = stash(token_pieces(docs, tokenizer_path, pattern, capacity, with_ids))
+    pieces = stash(token_pieces(docs, tokenizer_path, pattern, capacity, with_ids, added_as_text))
     hashed = pieces.withColumn("order_hash", F.xxhash64("doc_id", "start", "ids_crc32"))
     ranked = global_rank(hashed, ["piece_class"], ["order_hash", "doc_id", "start"])
     in_bin = W.partitionBy("piece_class", "bin").orderBy("rank_in_group").rowsBetween(W.unboundedPreceding, -1)

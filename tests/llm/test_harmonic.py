@@ -14,16 +14,17 @@ from .corpus import SF, edge_docs, empty_docs, small_docs
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
-def plain_ids(texts):
+def plain_ids(texts, added_as_text=False):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+    if added_as_text:
+        t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def check(pieces, docs, capacity):
+def check(pieces, docs, capacity, added_as_text=False):
     """Each id in exactly one piece, ids as the tokenizer gives them, sequences gapless and within the capacity."""
     want = defaultdict(list)
-    for (doc_id, _), ids in zip(docs, plain_ids([t for _, t in docs])):
+    for (doc_id, _), ids in zip(docs, plain_ids([t for _, t in docs], added_as_text)):
         want[doc_id].append(ids)
     have = defaultdict(list)
     for p in pieces:
@@ -93,6 +94,10 @@ def test_edge_cases(spark):
     local = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     pieces = pack(df, PATH, PATTERN, 2048, with_ids=True).collect()
     check(pieces, local, 2048)
-    special = spark.createDataFrame([(1, "a <|endoftext|> b  \n\n  c's 12 it'll   ")], "doc_id long, text string")
-    check(pack(special, PATH, PATTERN, 64, with_ids=True).collect(), [(1, "a <|endoftext|> b  \n\n  c's 12 it'll   ")], 64)
+    text = "a <|endoftext|> b  \n\n  c's 12 it'll   "
+    special = spark.createDataFrame([(1, text), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>\n")], "doc_id long, text string")
+    local = [tuple(r) for r in special.collect()]
+    for added_as_text in (False, True):
+        check(pack(special, PATH, PATTERN, 64, with_ids=True, added_as_text=added_as_text).collect(), local, 64, added_as_text)
+    assert 50256 in plain_ids([text])[0] and 50256 not in plain_ids([text], True)[0]
     assert pack(empty_docs(spark), PATH, PATTERN).count() == 0
