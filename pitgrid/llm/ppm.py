@@ -1,10 +1,14 @@
 """Language identification by prediction by partial matching.
 
-Every language has a context tree over bytes (A-Z folded; the most frequent bytes have symbols of their own, all other
-bytes share one). A symbol's probability is that of the longest context seen in training, escapes (method C, with
-exclusion) lead to shorter ones, and order -1 is uniform: each node's distribution sums to one, so a text's code length
-under a tree is exact. The statistics are frozen after training. A worker unrolls the trees into one table of code
-lengths, row by context and symbol, with a column a language; a text is scored by looking up and summing.
+Every language has a context tree over bytes (A-Z folded) of variable order: contexts of up to ORDER bytes that were seen
+in training. A byte's probability is that of the longest context seen, escapes (method C, with exclusion) lead to shorter
+ones, and order -1 is uniform over all 256 bytes: each node's distribution sums to one, so a text's code length under a
+tree is exact. The statistics are frozen after training.
+
+A tree is sparse: per order, the sorted codes of the contexts and bytes seen with their code lengths, and what an escape
+costs in each context. Seen bytes of a context are seen in its suffixes too, so the mass that exclusion leaves is summed
+over seen bytes alone, and memory is linear in what was seen. A text is scored by its distinct strings of ORDER + 1
+bytes: those not found at one order pay the escape and are looked for at the next.
 """
 
 from __future__ import annotations
@@ -21,34 +25,43 @@ from pitgrid.llm.common import small_batches
 
 #: Bound of the training sample, in documents a language (in expectation: each is drawn by a hash of its doc_id).
 TRAINING_DOCS = 2000
-BITS, ORDER = 7, 3
-SIZE = 1 << BITS
+ORDER = 4
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @dataclass(frozen=True)
-class Model:
-    """symbols: symbol of each byte; grams: per language, sorted codes of ORDER + 1 symbols and their counts."""
+class Tree:
+    """By order from 0: codes of context and byte with the byte's bits, codes of contexts with an escape's bits."""
 
-    langs: list[str]
-    symbols: np.ndarray
-    grams: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
 
 
 @dataclass(frozen=True)
-class Tables:
-    rows: np.ndarray  # of a context of ORDER symbols
-    cost: np.ndarray  # bits by row * SIZE + symbol, a column a language
+class Model:
+    """counts: per language, sorted codes of ORDER + 1 bytes and how often they occur."""
+
+    langs: list[str]
+    counts: list[tuple[np.ndarray, np.ndarray]]
+
+    def trees(self) -> list[Tree]:
+        return [grow(codes, n) for codes, n in self.counts]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def _symbols(text: str, symbols: np.ndarray) -> np.ndarray:
-    """With ORDER spaces in front, so that the first symbols have contexts too."""
-    data = (b" " * ORDER + text.encode("utf-8", "surrogatepass")).translate(_FOLD)
-    return symbols[np.frombuffer(data, np.uint8)]
+def codes_of(text: str) -> np.ndarray:
+    """Of each byte with the ORDER bytes before it; ORDER spaces stand in front of the text."""
+    data = np.frombuffer((b" " * ORDER + text.encode("utf-8", "surrogatepass")).translate(_FOLD), np.uint8).astype(np.int64)
+    n = len(data) - ORDER
+    out = np.zeros(n, np.int64)
+    for j in range(ORDER + 1):
+        out = (out << 8) | data[j : j + n]
+    return out
 
 
 def train(docs: DataFrame, limit: int = TRAINING_DOCS) -> Model:
@@ -59,91 +72,76 @@ def train(docs: DataFrame, limit: int = TRAINING_DOCS) -> Model:
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     langs = sorted(counts)
     if not langs:
-        return Model([], np.zeros(256, np.int64), [])
+        return Model([], [])
     number = {lang: i for i, lang in enumerate(langs)}
     draws = spark.createDataFrame([(lang, number[lang], min(1.0, limit / n)) for lang, n in counts.items()], "lang string, lang_no int, share double")
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     sample = rows.join(F.broadcast(draws), "lang").where(drawn).select("lang_no", "text")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_FOLD), np.uint8), minlength=256)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["byte", "n"])
-
-    bytes_ = sample.mapInArrow(tally, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "byte").limit(SIZE - 1).collect()
-    symbols = np.full(256, SIZE - 1, np.int64)
-    for i, r in enumerate(bytes_):
-        symbols[r.byte] = i
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang_no, texts = np.array(batch.column("lang_no").to_pylist()), batch.column("text").to_pylist()
             for k in np.unique(lang_no).tolist():
-                codes = [np.zeros(0, np.int64)]
-                for i in np.flatnonzero(lang_no == k).tolist():
-                    s = _symbols(texts[i], symbols)
-                    code = s[ORDER:]
-                    for j in range(1, ORDER + 1):
-                        code = code + (s[ORDER - j : len(s) - j] << (BITS * j))
-                    codes.append(code)
-                found, n = np.unique(np.concatenate(codes), return_counts=True)
+                found, n = np.unique(np.concatenate([codes_of(texts[i]) for i in np.flatnonzero(lang_no == k).tolist()]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), pa.array(found), pa.array(n)], ["lang_no", "gram", "n"])
 
     tallied = sample.mapInArrow(count, "lang_no int, gram long, n long").groupBy("lang_no", "gram").agg(F.sum("n").alias("n")).toPandas()
-    grams = []
+    counts = []
     for k in range(len(langs)):
         own = tallied[tallied.lang_no == k].sort_values("gram")
-        grams.append((own.gram.to_numpy(np.int64), own.n.to_numpy(np.int64)))
-    return Model(langs, symbols, grams)
-
-
-def unroll(model: Model) -> Tables:
-    """Code lengths of every symbol after every context seen in any language; a context that a language has not seen
-    has the distribution of its longest seen suffix there."""
-    contexts = [np.unique(np.concatenate([g >> BITS for g, _ in model.grams]) & ((1 << BITS * k) - 1)) for k in range(ORDER + 1)]
-    starts = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
-    cost = np.empty((int(starts[-1]), SIZE, len(model.langs)), np.float32)
-    for lang, (grams, counts) in enumerate(model.grams):
-        shorter = np.full((1, SIZE), 1.0 / SIZE)
-        of = np.zeros(1, np.int64)
-        for k, ctx in enumerate(contexts):
-            n = np.zeros((len(ctx), SIZE))
-            np.add.at(n, (np.searchsorted(ctx, (grams >> BITS) & ((1 << BITS * k) - 1)), grams & (SIZE - 1)), counts)
-            if k:
-                of = np.searchsorted(contexts[k - 1], ctx & ((1 << BITS * (k - 1)) - 1))
-            below = shorter[of]
-            total, distinct = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            left = np.where(n > 0, 0.0, below).sum(1, keepdims=True)  # exclusion: symbols seen here can't follow an escape
-            escape = np.where(left > 0, distinct / np.maximum(total + distinct, 1), 0.0)
-            seen = n / np.maximum(total, 1) * (1 - escape)
-            after = escape * below / np.where(left > 0, left, 1)
-            p = np.where(total > 0, np.where(n > 0, seen, after), below)
-            cost[starts[k] : starts[k + 1], :, lang] = -np.log2(p)
-            shorter = p
-    rows = np.zeros(1 << BITS * ORDER, np.int32)
-    everything = np.arange(1 << BITS * ORDER)
+        counts.append((own.gram.to_numpy(np.int64), own.n.to_numpy(np.int64)))
+    return Model(langs, counts)
+
+
+def _suffix(codes: np.ndarray, n_bytes: int) -> np.ndarray:
+    return codes & ((1 << 8 * n_bytes) - 1)
+
+
+def grow(codes: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of sorted codes of ORDER + 1 bytes and their counts."""
+    tree = Tree([], [], [], [])
+    below = np.full(256, 1 / 256)  # of order -1
+    shorter = np.arange(256)
     for k in range(ORDER + 1):
-        tail = everything & ((1 << BITS * k) - 1)
-        at = np.minimum(np.searchsorted(contexts[k], tail), len(contexts[k]) - 1)
-        rows = np.where(contexts[k][at] == tail, starts[k] + at, rows).astype(np.int32)
-    return Tables(rows, cost.reshape(-1, len(model.langs)))
-
-
-def code_lengths(model: Model, tables: Tables, texts: list[str]) -> np.ndarray:
-    """Bits of each text under each language's tree."""
-    parts = [_symbols(t, model.symbols) for t in texts]
-    s = np.concatenate(parts)
-    ctx = np.zeros(len(s) - ORDER, np.int64)
-    for j in range(1, ORDER + 1):
-        ctx |= s[ORDER - j : len(s) - j] << (BITS * (j - 1))
-    bits = tables.cost[tables.rows[ctx] * SIZE + s[ORDER:]]
-    ends = np.cumsum([len(p) for p in parts]) - ORDER
-    starts = np.concatenate(([0], ends[:-1] + ORDER))
-    sums = np.add.reduceat(np.vstack([bits, np.zeros((1, bits.shape[1]), np.float32)]), np.stack([starts, ends], 1).ravel(), axis=0, dtype=np.float64)[::2]
-    return np.where((starts < ends)[:, None], sums, 0.0)  # of an empty slice, reduceat gives the next value
+        grams, at = np.unique(_suffix(codes, k + 1), return_inverse=True)
+        count = np.bincount(at, n, len(grams))
+        contexts, of = np.unique(grams >> 8, return_inverse=True)
+        total, distinct = np.bincount(of, count, len(contexts)), np.bincount(of, minlength=len(contexts))
+        taken = np.bincount(of, below[np.searchsorted(shorter, _suffix(grams, max(k, 1)))], len(contexts))
+        left = np.where(distinct < 256, np.maximum(1 - taken, 1e-12), 0.0)  # exclusion: bytes seen here can't follow an escape
+        escape = np.where(left > 0, distinct / (total + distinct), 0.0)
+        p = count / total[of] * (1 - escape[of])
+        tree.grams.append(grams)
+        tree.bits.append(-np.log2(p))
+        tree.contexts.append(contexts)
+        tree.escapes.append(-np.log2(np.where(left > 0, escape / np.where(left > 0, left, 1), 1.0)))
+        shorter, below = grams, p
+    return tree
+
+
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(sorted_, wanted), max(len(sorted_) - 1, 0))
+    return at, sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool)
+
+
+def code_length(tree: Tree, codes: np.ndarray, n: np.ndarray) -> float:
+    """Bits of the bytes whose codes occur n times."""
+    total = 0.0
+    for k in range(ORDER, -1, -1):
+        at, seen = _find(tree.grams[k], _suffix(codes, k + 1))
+        total += float(tree.bits[k][at[seen]] @ n[seen])
+        codes, n = codes[~seen], n[~seen]
+        if not len(codes):
+            return total
+        at, seen = _find(tree.contexts[k], _suffix(codes >> 8, k))
+        total += float(tree.escapes[k][at[seen]] @ n[seen])
+    return total + 8.0 * float(n.sum())
+
+
+def code_lengths(trees: list[Tree], text: str) -> np.ndarray:
+    """Bits of a text under each language's tree."""
+    codes, n = np.unique(codes_of(text), return_counts=True)
+    return np.array([code_length(t, codes, n) for t in trees])
 
 
 def predict_language(docs: DataFrame, limit: int = TRAINING_DOCS) -> DataFrame:
@@ -156,14 +154,13 @@ def predict_language(docs: DataFrame, limit: int = TRAINING_DOCS) -> DataFrame:
     model = train(docs, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = unroll(model) if model.langs else None
+        trees = model.trees()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if tables and t and any(map(str.isalpha, t))]
-            for lo in range(0, len(known), 64):
-                part = known[lo : lo + 64]
-                for i, bits in zip(part, code_lengths(model, tables, [texts[i] for i in part])):
+            for i, text in enumerate(texts):
+                if trees and text and any(map(str.isalpha, text)):
+                    bits = code_lengths(trees, text)
                     best = int(np.argmin(bits))
                     langs[i] = model.langs[best]
                     scores[i] = float(1.0 / np.sum(np.exp2(np.maximum(bits[best] - bits, -1000.0))))
