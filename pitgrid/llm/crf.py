@@ -175,10 +175,10 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 250, rate: float
 def training_sequences(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCS) -> list[tuple[np.ndarray, int]]:
     """Line features of at most `limit` labelled documents, those of the smallest seeded hash of doc_id.
 
-    Documents that fail the base rules teach nothing about lines and are left out.
+    Documents that fail the base rules teach nothing about lines and are left out. Of labels that conflict the lower counts.
     """
     small_batches(docs.sparkSession)
-    picked = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     picked = picked.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pitgrid.llm.common import group_starts, small_batches, sorted_groups
 
@@ -37,21 +38,22 @@ def external_shuffle(docs: DataFrame, n_shards: int = 8, seed: int = 17, bucket_
 
     Shards' row counts are at most one apart; seed and rows alone decide the order (buckets are sorted before they are
     permuted, so a task that is run again gives the same). Null texts and ids and repeated rows are dealt like any
-    other; an empty table gives an empty one. Columns named bucket, tie, rank_in_bucket, shard or slot are replaced.
+    other; an empty table gives an empty one. Columns named shard or slot are replaced. Rows alike in doc_id and text lie
+    in one bucket.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("bucket", "tie", "rank_in_bucket", "shard", "slot")
+    docs = docs.drop("shard", "slot")
     bytes_ = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(8, -(-bytes_ // bucket_bytes))
-    scattered = docs.withColumn("tie", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(buckets)).cast("long"))
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")  # whatever the caller's columns are named
+    keyed = docs.select(own, F.col("doc_id").alias("order_id"), F.xxhash64("text").alias("tie"))
+    scattered = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "order_id", "tie"), F.lit(buckets)).cast("long"))
     sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     starts = sizes.select("bucket", F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("bucket_start"))
-    schema = scattered.schema.add("rank_in_bucket", "long")
-    mixed = scattered.repartition(int(min(buckets, 1 << 16)), "bucket").sortWithinPartitions("bucket", "doc_id", "tie").mapInArrow(_fisher_yates(seed), schema)
+    sorted_ = scattered.repartition(int(min(buckets, 1 << 16)), "bucket").sortWithinPartitions("bucket", "order_id", "tie").select("own", "bucket")
+    mixed = sorted_.mapInArrow(_fisher_yates(seed), StructType([*sorted_.schema.fields, StructField("rank_in_bucket", LongType())]))
     position = F.col("bucket_start") + F.col("rank_in_bucket")
-    return mixed.join(starts, "bucket").select(
-        *docs.columns, F.pmod(position, F.lit(n_shards)).cast("int").alias("shard"), F.floor(position / n_shards).cast("long").alias("slot")
-    )
+    return mixed.join(starts, "bucket").select("own.*", F.pmod(position, F.lit(n_shards)).cast("int").alias("shard"), F.floor(position / n_shards).cast("long").alias("slot"))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

@@ -167,18 +167,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A line is what \\n ends or the text's end. Lines without a word are left alone, as are null texts; a line is kept if
     it is the first of its class by doc_id (null counts as 0), text hash and place. Lines shorter than a shingle are
     alike only if equal. Rows of equal doc_id and text count as one document. An empty table gives an empty one.
-    Columns n_lines and n_removed of docs are replaced.
+    Columns n_lines and n_removed of docs are replaced. Equal lines and rows are known by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("th", F.xxhash64("doc_id", "text"))
-    gone = removed_lines(keyed.where("text is not null").select("did", "th", "text"))
-    both = keyed.join(gone.select(F.col("did").alias("gone_did"), F.col("th").alias("gone_th"), "gone"), (F.col("did") == F.col("gone_did")) & (F.col("th") == F.col("gone_th")), "left")
-    lines = F.split("text", "\n")
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("own")  # whatever the caller's columns are named
+    keyed = docs.select(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("th"))
+    gone = removed_lines(keyed.where("own.text is not null").select("did", "th", F.col("own.text").alias("text")))
+    both = keyed.join(gone, ["did", "th"], "left")
+    text = F.col("own.text")
+    lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(left)
+    return both.select(*[kept.alias(c) if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def drop_emptied(deduped: DataFrame) -> DataFrame:

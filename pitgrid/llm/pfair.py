@@ -119,7 +119,8 @@ def mix(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataFrame | None
 
 def keep_mix(docs: DataFrame, **options) -> DataFrame:
     """docs in the mix, sorted by slot; all columns stay. Repeated rows stand where the first of them does."""
-    placed = mix(docs, **options).where("in_mix").groupBy(F.col("doc_id").alias("mix_id"), F.col("th").alias("mix_th"), F.col("source").alias("mix_source"))
-    chosen = placed.agg(F.min(F.struct("slot", "place")).alias("mix_at"))
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("mix_id")) & (F.xxhash64(docs.text) == F.col("mix_th")) & docs.source.cast("string").eqNullSafe(F.col("mix_source"))
-    return docs.join(chosen, same).orderBy("mix_at").select(*[docs[c] for c in docs.columns])
+    placed = mix(docs, **options).where("in_mix").groupBy("doc_id", "th", "source").agg(F.min(F.struct("slot", "place")).alias("mix_at"))
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"))  # whatever the caller's columns are named
+    own = lambda c: F.col("own").getField(c)
+    same = own("doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(own("text")) == F.col("th")) & own("source").cast("string").eqNullSafe(F.col("source"))
+    return keyed.join(placed, same).orderBy("mix_at").select("own.*")

@@ -344,6 +344,6 @@ def keep_one_row_per_class(docs: DataFrame, width: int = 5, similarity: float =
     count as one; a doc_id that occurs with different texts is as many documents.
     """
     first = similar_classes(docs, width, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "row_key")).alias("kept"))
-    keyed = docs.withColumn("_row_key", F.xxhash64(*docs.columns))
-    kept = keyed.join(first.select(F.col("kept.row_key").alias("_row_key")), "_row_key", "left_semi")
-    return kept.dropDuplicates(["_row_key"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"), F.xxhash64(*docs.columns).alias("row_key"))  # whatever the caller's columns are named
+    kept = keyed.join(first.select(F.col("kept.row_key").alias("row_key")), "row_key", "left_semi")
+    return kept.dropDuplicates(["row_key"]).select("own.*")

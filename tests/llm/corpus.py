@@ -25,8 +25,9 @@ EDGE = [
 
 def edge_docs(spark):
     """Nulls, empty, blank, repeated, tied, very long rows; extra columns whose names clash with inner ones."""
-    extra = [(*r, "x", 1, 2, 3, "y") for r in EDGE]
-    return spark.createDataFrame(extra, SCHEMA + ", name string, n long, bucket long, shard int, spans string")
+    clashing = ("did", "th", "gone", "own", "mix_at", "slot", "block", "bucket_start", "tie", "source_key", "root", "line", "_row_key")
+    extra = [(*r, "x", 1, 2, 3, "y", *range(len(clashing))) for r in EDGE]
+    return spark.createDataFrame(extra, SCHEMA + ", name string, n long, bucket long, shard int, spans string, " + ", ".join(f"{c} long" for c in clashing))
 
 
 def empty_docs(spark):

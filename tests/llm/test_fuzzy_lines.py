@@ -94,7 +94,7 @@ def test_edge_cases(spark):
     out = dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     rows = out.collect()
-    assert len(rows) == 12
+    assert len(rows) == 12 and {(r.did, r.th, r.gone, r.own) for r in rows} == {(0, 1, 2, 3)}
     by_id = {r.doc_id: r for r in rows}
     assert by_id[1].text is None and by_id[1].n_lines == 0
     assert by_id[2].text == "" and by_id[3].n_removed == 0
