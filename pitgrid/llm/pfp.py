@@ -1,19 +1,25 @@
 """Removal of long repeated byte strings by prefix-free parsing.
 
-A window of `length` bytes is removed if it starts anywhere else too. Sorting every suffix of the corpus would cost far
-more than the corpus; prefix-free parsing sorts phrases instead. The rolling hash of `gram` bytes triggers a phrase
-end at its least value within `reach` starts, so every window has exactly one trigger m(i), found from the window's own
-bytes: a suffix is a phrase suffix (the bytes up to its trigger, fewer than `reach`) followed by the parse from there.
-
-Suffixes need order only up to equality of their first `length` bytes, so ranks are names of equal strings (hashes), as
-in naming-based suffix sorting, given level by level:
-
-* parse: a trigger's name is its next length - reach + 1 bytes, which every window of that trigger holds;
-* dictionary: all windows of one trigger as a whole (phrase and what follows). Same entry twice: all of them repeat.
-* only where one parse name has several entries are its windows told apart, in blocks and then one by one; there, any
-  one occurrence stands for its entry.
-
-Counts are pre-aggregated at each level, so a passage that very many documents share is no hot spot.
+A window of `length` bytes is removed if it starts anywhere else too: if it has a neighbour in the order of all suffixes
+of the corpus with which it shares `length` bytes. Sorting every suffix would cost far more than the corpus;
+prefix-free parsing sorts phrases instead. The rolling hash of `gram` bytes triggers a phrase end at its least value within
+`reach` starts, so every window has exactly one trigger, found from the window's own bytes: a suffix is a phrase suffix
+(the bytes up to its trigger, fewer than `reach`) followed by the parse from there. Two suffixes of different triggers are
+never alike, so the order is needed only among triggers that agree in what every window of theirs holds:
+
+* parse: a trigger's name is its next length - reach + 1 bytes. Names that occur once can't repeat and go.
+* dictionary: a trigger's entry is its phrase and the bytes that follow, all its windows together. Entries are counted;
+  of one that occurs twice or more, all windows repeat. Only names of several different entries need the order.
+* order: the entries of a name meet in one task. The suffix array of their phrases (sorted from the trigger backwards, with
+  common lengths) gives the classes of equal phrase suffixes of each length; the suffix array of the parse from their
+  triggers (with common prefix lengths) orders each class. A window repeats if it shares with a neighbour in its class
+  what is left of `length`. Bytes are compared, no hashes.
+* names of more than HOT entries, which one task should not hold: their windows are told apart by name, in blocks and
+  then one by one, counted like the dictionary.
+
+Counts are pre-aggregated at each level, so a passage that very many documents share is no hot spot. Where strings are
+known by name, they are known by two 64-bit hashes together, of the string and of a part of it: at 10^12 names, two
+different strings with one name are to be expected once in some 10^14 corpora.
 """
 
 from __future__ import annotations
@@ -27,11 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.common import drop_stash, small_batches, stash
+from pitgrid.llm.common import drop_stash, group_starts, small_batches, sorted_groups, stash
 
 GRAM = 16
-#: Windows of an open entry are first told apart in blocks of so many.
+#: Up to so many different entries of a name are ordered in one task; windows of others are told apart by name.
+HOT = 4000
+#: Entries ordered together, of many names: whole names, at least so many rows if there are.
+TOGETHER = 16_000
+#: Windows of a hot name are first told apart in blocks of so many.
 BLOCK = 16
+#: Kinds of parts: all windows repeat; to be ordered; of a hot name.
+_SETTLED, _OPEN, _HOT = 0, 1, 2
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -58,7 +70,7 @@ def window_triggers(data: bytes, length: int, reach: int) -> tuple[np.ndarray, n
 
 
 def _entries(length: int, reach: int):
-    """Level one: name and dictionary entry of each trigger of each document."""
+    """Name and dictionary entry of each trigger of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -83,8 +95,117 @@ def _entries(length: int, reach: int):
     return run
 
 
+def _bytes(length: int):
+    """Entries to be ordered, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for did, th, text, parts in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "parts"))):
+                data = text.encode("utf-8", "surrogatepass")
+                own = [x for x in parts if x["kind"] == _OPEN]
+                if own:
+                    ints = [pa.array([x[c] for x in own], pa.int32()) for c in ("first", "last", "trigger")]
+                    names = pa.array([x["name"] for x in own], pa.int64())
+                    cut = pa.array([data[x["first"] : x["last"] + length] for x in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([names, *_same(len(own), did, th), *ints, cut], ["name", "did", "th", "first", "last", "trigger", "bytes"])
+
+    return run
+
+
+def _sorted_with_common(strings: list[bytes], group: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the strings in the order of group and bytes, and how many bytes each place shares with the one before it
+    (zeros stand behind the ends; -1 at a new group)."""
+    order = sorted(range(len(strings)), key=lambda i: (group[i], strings[i]))
+    padded = np.frombuffer(b"".join(strings[i].ljust(width, b"\0") for i in order), np.uint8).reshape(-1, width)
+    differ = padded[1:] != padded[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), width)
+    of = np.asarray(group)[order]
+    common[of[1:] != of[:-1]] = -1
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place, np.concatenate(([-1], common))
+
+
+class _Least:
+    """Least value of any range of an array, from the least values of all ranges whose sizes are powers of two."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.rows = [values]
+        while 2 << (len(self.rows) - 1) <= len(values):
+            last, half = self.rows[-1], 1 << (len(self.rows) - 1)
+            self.rows.append(np.minimum(last[:-half], last[half:]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Of lo to hi, both included."""
+        out = np.empty(len(lo), np.int64)
+        size = np.frexp(hi - lo + 1)[1] - 1
+        for k in np.unique(size).tolist():
+            at = np.flatnonzero(size == k)
+            out[at] = np.minimum(self.rows[k][lo[at]], self.rows[k][hi[at] - (1 << k) + 1])
+        return out
+
+
+def repeated_windows(data: list[bytes], group: list[int], most: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, bytes before the trigger) of the windows that start in two entries of a group at least. An entry's bytes are
+    those of its windows, of which the first has `most` bytes before the trigger and the last `least`."""
+    left = [x[:m][::-1] for x, m in zip(data, most.tolist())]
+    right = [x[m:] for x, m in zip(data, most.tolist())]
+    phrase_at, phrase_common = _sorted_with_common(left, group, max(1, int(most.max())))
+    parse_at, parse_common = _sorted_with_common(right, group, length)
+    shared = _Least(np.maximum(parse_common, 0))
+    best = np.maximum(parse_common[parse_at], np.append(parse_common, -1)[parse_at + 1])
+    alive = np.flatnonzero(best >= length - most)  # no other entry shares enough after the trigger with the rest
+    found, sizes = [], []
+    for a in range(int(most.max()) + 1):
+        if len(alive) < 2:
+            break
+        classes = np.cumsum(phrase_common < a)[phrase_at]
+        e = alive[(least[alive] <= a) & (a <= most[alive])]
+        e = e[np.lexsort((parse_at[e], classes[e]))]
+        pair = np.flatnonzero(classes[e[1:]] == classes[e[:-1]])
+        r = parse_at[e]
+        pair = pair[shared.of(r[pair] + 1, r[pair + 1]) >= length - a]
+        hit = np.unique(np.concatenate((e[pair], e[pair + 1])))
+        found.append(hit)
+        sizes.append(np.full(len(hit), a))
+        alive = alive[most[alive] > a]  # alone in its class once, alone in all narrower ones
+        _, at, n = np.unique(classes[alive], return_inverse=True, return_counts=True)
+        alive = alive[n[at] > 1]
+    return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _order(length: int):
+    """Spans of repeated windows of the entries that arrive sorted by name."""
+
+    def spans(table: pa.Table) -> pa.RecordBatch:
+        first, last, trigger, did, th = (table[c].to_numpy() for c in ("first", "last", "trigger", "did", "th"))
+        starts = group_starts(table, ["name"])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows))).tolist()
+        entry, before = repeated_windows(table["bytes"].to_pylist(), group, (trigger - first).astype(np.int64), (trigger - last).astype(np.int64), length)
+        at = trigger[entry] - before
+        order = np.lexsort((at, entry))
+        entry, at = entry[order], at[order]
+        new = np.flatnonzero(np.concatenate(([True], (entry[1:] != entry[:-1]) | (at[1:] != at[:-1] + 1)))) if len(entry) else np.zeros(0, np.int64)
+        ends = at[np.append(new[1:], len(at)) - 1] + length if len(entry) else at
+        rows = entry[new]
+        return pa.RecordBatch.from_arrays([pa.array(did[rows]), pa.array(th[rows]), pa.array(at[new], pa.int32()), pa.array(ends, pa.int32())], ["did", "th", "first", "end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+        for table in sorted_groups(batches, ["name"]):
+            waiting.append(table)
+            rows += table.num_rows
+            if rows >= TOGETHER:
+                yield spans(pa.concat_tables(waiting).combine_chunks())
+                waiting, rows = [], 0
+        if waiting:
+            yield spans(pa.concat_tables(waiting).combine_chunks())
+
+    return run
+
+
 def _blocks(length: int):
-    """Level two: the windows of entries that share a name with others, in blocks of BLOCK places of the trigger."""
+    """Windows of the entries of hot names, in blocks of BLOCK places of the trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -93,7 +214,7 @@ def _blocks(length: int):
                 data = text.encode("utf-8", "surrogatepass")
                 inner, whole, firsts, lasts = [], [], [], []
                 for x in parts:
-                    if not x["open"]:
+                    if x["kind"] != _HOT:
                         continue
                     first, last, at = x["first"], x["last"], x["trigger"]
                     for j in range((at - last) // BLOCK, (at - first) // BLOCK + 1):
@@ -109,7 +230,7 @@ def _blocks(length: int):
 
 
 def _windows(length: int):
-    """Level three: the windows of blocks whose common bytes several blocks share, one by one."""
+    """Windows of blocks whose common bytes several blocks share, one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -174,7 +295,7 @@ def _twice(df: DataFrame, *keys: str) -> DataFrame:
     return stash(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
 
 
-def repeated_parts(docs: DataFrame, length: int, reach: int) -> DataFrame:
+def repeated_parts(docs: DataFrame, length: int, reach: int, hot: int = HOT) -> DataFrame:
     """(did, th, parts) of the rows of docs (did, th, text) that may hold repeats: runs of windows (first, last) that all
     repeat, and open ones, of which each stands for its dictionary entry."""
     long_enough = docs.where(F.octet_length("text") >= length)
@@ -183,15 +304,24 @@ def repeated_parts(docs: DataFrame, length: int, reach: int) -> DataFrame:
     drop_stash(entries)
     dictionary = stash(shared.groupBy("name", "entry").agg(F.count("*").alias("n"), *_first("did", "th", "first", "last", "trigger")))
     settled = shared.join(dictionary.where("n > 1").select("name", "entry"), ["name", "entry"], "left_semi")
-    open_ = dictionary.join(_twice(dictionary, "name"), "name", "left_semi")
-    part = lambda open_: F.struct("first", "last", "trigger", F.lit(open_).alias("open")).alias("part")
-    both = settled.select("did", "th", part(False)).union(open_.select("did", "th", part(True)))
+    several = stash(dictionary.groupBy("name").agg(F.count("*").alias("entries")).where("entries > 1"))
+    open_ = dictionary.join(several, "name")
+    part = lambda kind: F.struct("name", "first", "last", "trigger", kind.cast("int").alias("kind")).alias("part")
+    kind = F.when(F.col("entries") > hot, _HOT).otherwise(_OPEN)
+    both = settled.select("did", "th", part(F.lit(_SETTLED))).union(open_.select("did", "th", part(kind)))
     return both.groupBy("did", "th").agg(F.collect_list("part").alias("parts"))
 
 
-def later_spans(found: DataFrame, length: int) -> DataFrame:
-    """(did, th, first, end): repeats among the open parts of found (did, th, text, parts)."""
-    opened = found.where(F.exists("parts", lambda x: x.open))
+def ordered_spans(found: DataFrame, length: int) -> DataFrame:
+    """(did, th, first, end): repeats among the open parts of found (did, th, text, parts), by suffix order."""
+    opened = found.where(F.exists("parts", lambda x: x.kind == _OPEN))
+    cut = opened.mapInArrow(_bytes(length), "name long, did long, th long, first int, last int, trigger int, bytes binary")
+    return cut.repartition("name").sortWithinPartitions("name").mapInArrow(_order(length), "did long, th long, first int, end int")
+
+
+def named_spans(found: DataFrame, length: int) -> DataFrame:
+    """(did, th, first, end): repeats among the parts of hot names, by names of their windows."""
+    opened = found.where(F.exists("parts", lambda x: x.kind == _HOT))
     blocks = stash(opened.mapInArrow(_blocks(length), "inner long, whole long, did long, th long, first int, last int"))
     shared = stash(blocks.join(_twice(blocks, "inner"), "inner", "left_semi"))
     drop_stash(blocks)
@@ -203,7 +333,7 @@ def later_spans(found: DataFrame, length: int) -> DataFrame:
     return settled.select("did", "th", "first", (F.col("last") + length).alias("end")).union(single.select("did", "th", "first", (F.col("first") + length).alias("end")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, reach: int = 320, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, reach: int = 320, keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """Remove each byte that a string of `length` bytes covers which starts anywhere else too, in any row or the same.
 
     docs needs doc_id and text (UTF-8 bytes count); other columns are ignored. One row per row of docs: doc_id,
@@ -216,9 +346,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, reach: int = 320, keep_by
     small_batches(docs.sparkSession, 200)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("*", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("th"))
-    found = stash(rows.join(repeated_parts(rows.select("did", "th", "text"), length, reach), ["did", "th"]))
-    late = later_spans(found, length).groupBy("did", "th").agg(F.collect_list(F.struct("first", "end")).alias("late"))
-    early = F.transform(F.filter("parts", lambda x: ~x.open), lambda x: F.struct(x.first.alias("first"), (x.last + length).alias("end")))
+    found = stash(rows.join(repeated_parts(rows.select("did", "th", "text"), length, reach, hot), ["did", "th"]))
+    late = ordered_spans(found, length).union(named_spans(found, length)).groupBy("did", "th").agg(F.collect_list(F.struct("first", "end")).alias("late"))
+    early = F.transform(F.filter("parts", lambda x: x.kind == _SETTLED), lambda x: F.struct(x.first.alias("first"), (x.last + length).alias("end")))
     none = F.array().cast("array<struct<first:int,end:int>>")
     hit = found.join(late, ["did", "th"], "left").select("doc_id", "text", F.concat(early, F.coalesce("late", none)).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes

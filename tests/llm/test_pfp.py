@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pitgrid.llm.pfp import remove_repeats, window_triggers
+from pitgrid.llm.pfp import remove_repeats, repeated_windows, window_triggers
 
 from .corpus import edge_docs, empty_docs, small_docs, small_pandas
 
@@ -46,8 +46,25 @@ def test_cut_and_shared_passages(spark):
     texts += [texts[0], word(300) + "É" * 30, "É" * 41]
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for reach in (8, 20, 24):
-        assert got(remove_repeats(df, 40, reach)) == plain(docs, 40)
+    for reach, hot in ((8, 4000), (20, 4000), (24, 4000), (24, 1), (20, 3)):  # with few allowed, names count as hot
+        assert got(remove_repeats(df, 40, reach, hot=hot)) == plain(docs, 40)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.text(alphabet="ab\0", min_size=0, max_size=7), st.text(alphabet="ab\0", min_size=12, max_size=12), st.integers(0, 3)), min_size=2, max_size=12))
+def test_order_finds_what_counting_finds(entries):
+    """Windows of 12 bytes with up to 7 before the trigger: against counting them by group and place of the trigger."""
+    entries = sorted(entries, key=lambda x: x[0])
+    data, most, least = [], [], []
+    for _, before, after, skip in entries:
+        low = min(skip, len(before))
+        data.append((before + after[: 12 - low]).encode())
+        most.append(len(before))
+        least.append(low)
+    windows = [(i, a, (entries[i][0], a, data[i][most[i] - a : most[i] - a + 12])) for i in range(len(data)) for a in range(least[i], most[i] + 1)]
+    seen = Counter(w for _, _, w in windows)
+    found = repeated_windows(data, [x[0] for x in entries], np.array(most), np.array(least), 12)
+    assert sorted(zip(*(x.tolist() for x in found))) == sorted((i, a) for i, a, w in windows if seen[w] > 1)
 
 
 @settings(max_examples=60)
