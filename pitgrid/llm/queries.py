@@ -49,7 +49,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pitgrid.llm.pfp import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir), length=400)
+    return remove_repeats(documents(spark, sf_dir), length=400).withColumn("has_repeats", F.col("n_removed") > 0)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
