@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,9 @@ class Tree:
     escapes: list[np.ndarray]
 
 
+_grown: dict[str, list[Tree]] = {}
+
+
 @dataclass(frozen=True)
 class Model:
     """counts: per language, sorted codes of ORDER + 1 bytes and how often they occur."""
@@ -47,7 +51,12 @@ class Model:
     counts: list[tuple[np.ndarray, np.ndarray]]
 
     def trees(self) -> list[Tree]:
-        return [grow(codes, n) for codes, n in self.counts]
+        """Grown once in a worker, whatever the number of its tasks."""
+        key = xxhash.xxh3_128_hexdigest(b"".join(x.tobytes() for pair in self.counts for x in pair))
+        if key not in _grown:
+            _grown.clear()
+            _grown[key] = [grow(codes, n) for codes, n in self.counts]
+        return _grown[key]
 
 
 def held_out(doc_id: Column) -> Column:
