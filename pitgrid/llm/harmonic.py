@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,13 @@ class TokenIds(dict):
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return b"".join([self[token] for token in self.split(text)])
+
+
+@lru_cache(maxsize=2)
+def worker_ids(tokenizer_path: str, pattern: str, added_as_text: bool) -> TokenIds:
+    """The tokenizer and its memo, loaded once in a worker and used by all tasks that it is given."""
+    return TokenIds(tokenizer_path, pattern, added_as_text)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, with_ids: bool = False, added_as_text: bool = False) -> DataFrame:
@@ -80,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: i
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TokenIds(tokenizer_path, pattern, added_as_text)
+        encoder = worker_ids(tokenizer_path, pattern, added_as_text)
         for batch in batches:
             out: list[list] = [[] for _ in range(6 + with_ids)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
