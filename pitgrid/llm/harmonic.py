@@ -23,8 +23,9 @@ from pitgrid.llm.common import global_rank, small_batches, stash
 END_ID = 1
 #: A piece that fills this share of its class's length or more is not cut further.
 FULL_ENOUGH = 63 / 64
-#: Entries of a worker's memo of pre-tokens; it is emptied when full. A memo only: results don't depend on it.
-MEMO_ENTRIES = 400_000
+#: Entries of each half of a worker's memo of pre-tokens: when the newer half is full, it takes the place of the older. A memo
+#: only: results don't depend on it.
+MEMO_ENTRIES = 500_000
 
 
 def cut_plan(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -55,6 +56,7 @@ class TokenIds(dict):
 
         self.whole = Tokenizer.from_file(tokenizer_path)
         self.model = self.whole.model
+        self.older: dict[str, bytes] = {}
         self.added = [] if added_as_text else [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -63,9 +65,13 @@ class TokenIds(dict):
 
     def __missing__(self, token: str) -> bytes:
         if len(self) >= MEMO_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        seen = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
-        self[token] = ids = np.array([t.id for t in self.model.tokenize(seen)], dtype="<u4").tobytes()
+        ids = self.older.get(token)
+        if ids is None:
+            seen = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
+        self[token] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
