@@ -22,6 +22,8 @@ from pitgrid.llm.common import global_rank, stash
 #: Slots of a period while no source has run out, but for rounding. Weights aren't rounded.
 PERIOD = 1000
 BLOCK_DOCS = 4
+#: Periods that a task folds, where there are many more of them than cores.
+PERIODS_A_TASK = 50
 SMOOTHING = 0.7
 _NEVER = 1 << 60
 
@@ -85,7 +87,9 @@ def block_slots(weights: DataFrame, blocks: DataFrame, period: int = PERIOD, blo
     earlier = starts.join(F.broadcast(before), F.col("lap_of_ends") < F.col("lap"), "left").groupBy("lap", "cut", "period", "start").agg(F.coalesce(F.sum("n_ends"), F.lit(0)).alias("before"))
     periods = stash(earlier.select("lap", "cut", "period", "start", (F.col("before") + F.col("cut")).alias("gone")))
     keyed = parts.join(periods, ["lap", "cut"])
-    dealt = keyed.repartition("lap", "cut")
+    n_periods, cores = periods.count(), parts.sparkSession.sparkContext.defaultParallelism
+    # a period is few rows but many steps: by size alone, all periods would be put together into one task
+    dealt = keyed.repartition(max(1, min(n_periods, max(4 * cores, n_periods // PERIODS_A_TASK))), "lap", "cut")
     turns = period_schedule(dealt, ("lap", "cut")).join(keyed, ["lap", "cut", "source_key"])
     return turns.select(
         "source_key", (F.col("first_block") + F.col("turn")).alias("block"),
