@@ -126,6 +126,17 @@ def meet_in_blocks(df: DataFrame, keys: list[str], item: str, block_rows: int) -
     )
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], rows: int, share: float = 1 / 1000) -> DataFrame:
+    """left (a stashed table of `rows` rows) joined with right, which is unique by keys. The rows of a key with more than
+    `share` of all rows are dealt, by a hash of the columns `spread`, to salts, and right's row goes to each of them; there
+    are fewer than 1 / share such keys, and they alone are broadcast."""
+    counts = left.groupBy(*keys).agg(F.count("*").alias("key_rows")).where(F.col("key_rows") > share * rows)
+    hot = F.broadcast(stash(counts.select(*keys, F.ceil(F.col("key_rows") / (share * rows)).cast("int").alias("salts"))))
+    salted = left.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    spread_out = right.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(spread_out, [*keys, "salt"]).drop("salt")
+
+
 def global_rank(df: DataFrame, groups: list[str], order: list[str], rows_per_bucket: int = 20_000, n_rows: int | None = None) -> DataFrame:
     """Add rank_in_group (from 0) in the order of the columns `order`, of which the first is a uniform long hash.
 

@@ -78,6 +78,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.word_runs import runs_digest, with_periodic_tails
+
+    return runs_digest(with_periodic_tails(documents(spark, sf_dir)))
+
+
+def op12_oddsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.odd_sketch import near_components
+
+    return near_components(documents(spark, sf_dir), width=2, similarity_percent=80)
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pitgrid.llm.vector_codes import vector_codes
+
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_imatch": op1_imatch,
@@ -90,8 +108,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "op11_runs": op11_runs,
+        "op12_oddsketch": op12_oddsketch,
+        "op13_codes": op13_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pitgrid.llm import odd_sketch, vector_codes, word_runs
+
+    return {"op11_runs": word_runs.SQL, "op12_oddsketch": odd_sketch.SQL, "op13_codes": vector_codes.SQL}

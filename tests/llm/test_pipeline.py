@@ -76,7 +76,7 @@ def test_edge_cases(spark):
 
 def test_registered():
     names = [k for k in __spark_entry__.queries() if re.match(r"op\d+_", k)]
-    assert [k.split("_")[0] for k in names] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in names] == [f"op{n}" for n in range(1, 14)]
     assert "pipeline" in __spark_entry__.queries()
     assert importlib.import_module("corpus_pipeline").ORACLE_SQL is None
     assert zlib.crc32(b"") == 0
