@@ -134,7 +134,7 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: list[st
     hot = F.broadcast(stash(counts.select(*keys, F.ceil(F.col("key_rows") / (share * rows)).cast("int").alias("salts"))))
     salted = left.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
     spread_out = right.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return salted.join(spread_out, [*keys, "salt"]).drop("salt")
+    return salted.join(spread_out.hint("merge"), [*keys, "salt"]).drop("salt")
 
 
 def global_rank(df: DataFrame, groups: list[str], order: list[str], rows_per_bucket: int = 20_000, n_rows: int | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ whose sketches differ too much are no candidates. What is left is confirmed on t
 
 Equal sets are one node. First every node is compared with the least node of each of its buckets, which takes one row a
 node however large the bucket, and the closest is confirmed: a large group of near copies falls together. Only buckets
-that then still hold several components are gone through pair by pair, in blocks, on sketches; rows with a candidate in
-another component are confirmed there on their sets, until no two components of a bucket are linked.
+that then still hold several components are gone through pair by pair, on sketches; large ones in blocks, in which rows
+of the largest component meet the others but not each other. A pair is looked at in the first of the buckets that its
+two nodes share; rows with a candidate there are confirmed on their sets, until no two components of a bucket are linked.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.common import group_starts, join_hot, meet_in_blocks, small_batches, sorted_groups, stash
+from pitgrid.llm.common import drop_stash, group_starts, join_hot, small_batches, sorted_groups, stash
 from pitgrid.llm.components import connected_components
 from pitgrid.llm.simhash import shingle_hashes
 
@@ -138,11 +139,20 @@ def _sets(width: int):
     return run
 
 
-def _candidates(table: pa.Table, lo: int, hi: int, limit: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, others): rows before i of the bucket's rows lo:hi that are near to it by sketch and size and in another
-    component. Rows of two chunks of a large bucket are only held against the other chunk's."""
+def _candidates(table: pa.Table, lo: int, hi: int, limit: int, percent: int) -> Iterator[tuple[int, list[int]]]:
+    """(i, others): rows before i of the bucket's rows lo:hi that are near to it by sketch and size, in another component,
+    and in no earlier bucket with it. Rows of two chunks of a large bucket are only held against the other chunk's."""
     sketch, comp, size, side = _words(table["sketch"].slice(lo, hi - lo)), *(table[c].slice(lo, hi - lo).to_numpy() for c in ("comp", "n_shingles", "side"))
+    shared = table["buckets"].slice(lo, hi - lo)
+    band = table["band"][lo].as_py()
     two_chunks = table["side_a"][lo].as_py() != table["side_b"][lo].as_py()
+    lists: dict[int, list[int]] = {}
+
+    def buckets(i: int) -> list[int]:
+        if i not in lists:
+            lists[i] = shared[i].as_py()
+        return lists[i]
+
     for i in range(1, hi - lo):
         other = comp[:i] != comp[i]
         if two_chunks:
@@ -150,8 +160,10 @@ def _candidates(table: pa.Table, lo: int, hi: int, limit: int, percent: int) ->
         near = np.flatnonzero(other & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i])))
         if len(near):
             near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(1, dtype=np.int64) <= limit]
-            if len(near):
-                yield i, near
+        if len(near):
+            own = set(buckets(i))
+            if first := [j for j in near.tolist() if next(b for b in buckets(j) if b in own) == band]:
+                yield i, first
 
 
 _KEYS = ["band", "side_a", "side_b"]
@@ -167,7 +179,7 @@ def _near_rows(limit: int, percent: int):
             for lo, hi in zip(starts, starts[1:]):
                 for i, others in _candidates(table, lo, hi, limit, percent):
                     wanted.add(lo + i)
-                    wanted.update((lo + others).tolist())
+                    wanted.update(lo + j for j in others)
             yield from table.take(pa.array(sorted(wanted), pa.int64())).combine_chunks().to_batches(max_chunksize=500)
 
     return run
@@ -192,7 +204,7 @@ def _confirm(limit: int, percent: int):
 
                 for i, others in _candidates(table, lo, hi, limit, percent):
                     own = shingles[lo + i].values.to_numpy()
-                    for j in others.tolist():
+                    for j in others:
                         a, b = find(comps[lo + i]), find(comps[lo + j])
                         if a == b:
                             continue
@@ -207,31 +219,60 @@ def _confirm(limit: int, percent: int):
     return run
 
 
+# Sets and sketches grow with the corpus: joins with them are merge joins at any size, so that a plan tried on little data
+# is the plan of much.
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the nodes in wanted, from one text of each."""
     texts = stash(nodes.join(wanted, "node", "left_semi").select("node", "th"))
     keyed = docs.select(F.xxhash64("text").alias("th"), "text").where("text is not null")
     # one row of each text: copies are told apart by nothing but their ids
     found = keyed.join(texts.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
-    return stash(found.mapInArrow(_sets(width), "th long, shingles array<long>").join(texts, "th").select("node", "shingles"))
+    sets = stash(found.mapInArrow(_sets(width), "th long, shingles array<long>").join(texts, "th").select("node", "shingles"))
+    drop_stash(texts)
+    return sets
 
 
 def _star_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
     """Confirmed links of each node with the closest of the least nodes of its buckets: at most one a node."""
-    pairs = stash(members.where("node <> least").select("node", "least").distinct())
-    mine = pairs.join(nodes.select("node", "sketch", F.col("n_shingles").alias("n")), "node")
+    pairs = members.where("node <> least").select("node", "least").distinct()
+    mine = stash(pairs.join(nodes.select("node", "sketch", F.col("n_shingles").alias("n")).hint("merge"), "node"))
     theirs = nodes.select(F.col("node").alias("least"), F.col("sketch").alias("least_sketch"), F.col("n_shingles").alias("least_n"))
-    met = join_hot(stash(mine), theirs.join(pairs.select("least").distinct(), "least", "left_semi"), ["least"], ["node"], pairs.count())
+    met = join_hot(mine, theirs.join(mine.select("least").distinct(), "least", "left_semi"), ["least"], ["node"], mine.count())
     apart = F.aggregate(F.zip_with("sketch", "least_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sized = 100 * F.least("n", "least_n") >= percent * F.greatest("n", "least_n")
     near = met.where(sized).withColumn("apart", apart).where(F.col("apart") <= limit)
     edges = stash(near.groupBy("node").agg(F.min(F.struct("apart", "least")).alias("m")).select("node", F.col("m.least").alias("least")))
     sets = _sets_of(docs, nodes, edges.select("node").union(edges.select("least")).distinct(), width)
-    held = stash(edges.join(sets, "node"))
-    both = join_hot(held, sets.select(F.col("node").alias("least"), F.col("shingles").alias("least_shingles")), ["least"], ["node"], held.count())
+    theirs = sets.join(edges.select("least").distinct(), sets.node == F.col("least"), "left_semi").select(F.col("node").alias("least"), F.col("shingles").alias("least_shingles"))
+    both = join_hot(edges, theirs, ["least"], ["node"], edges.count()).join(sets.hint("merge"), "node")
     inter = F.size(F.array_intersect("shingles", "least_shingles"))
     alike = 100 * inter >= percent * (F.size("shingles") + F.size("least_shingles") - inter)
-    return both.where(alike).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    links = stash(both.where(alike).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    for table in (mine, edges, sets):
+        drop_stash(table)
+    return links
+
+
+def _meet_across(placed: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (band, node, comp) of the buckets that hold several components, with the blocks (side_a, side_b, side) in which
+    they meet. A bucket of up to block_rows rows is one block. In a larger one, chunks of the largest component's rows
+    meet the chunks of the others, and these each other: rows of the largest never meet."""
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("comps"))
+    mixed = sizes.where("comps > 1").select("band", F.col("most.comp").alias("largest"), F.col("most.n").alias("most"), "total")
+    chunks = lambda n: F.ceil(n / block_rows).cast("int")
+    whole, own = F.col("total") <= block_rows, F.xxhash64("node")
+    rows = placed.join(mixed, "band").withColumn("is_largest", F.col("comp") == F.col("largest"))
+    rows = rows.withColumn("of_largest", chunks(F.col("most"))).withColumn("of_others", chunks(F.col("total") - F.col("most")))
+    place = lambda a, b, side: F.struct(a.cast("int").alias("side_a"), b.cast("int").alias("side_b"), side.cast("int").alias("side"))
+    big, small = -1 - F.pmod(own, F.col("of_largest")), F.pmod(own, F.col("of_others"))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    of_largest = to(F.col("of_others"), lambda k: place(big, k, big))
+    of_others = F.concat(to(F.col("of_largest"), lambda k: place(-1 - k, small, small)), to(F.col("of_others"), lambda k: place(F.least(k, small), F.greatest(k, small), small)))
+    zero = F.lit(0)
+    blocks = F.when(whole, F.array(place(zero, zero, zero))).when(F.col("is_largest"), of_largest).otherwise(of_others)
+    return rows.select("band", "node", "comp", F.explode(blocks).alias("block")).select("band", "node", "comp", "block.*")
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -239,18 +280,23 @@ def near_links(nodes: DataFrame, docs: DataFrame, width: int, percent: int, bloc
     limit = sketch_limit(percent / 100)
     banded = stash(nodes.select("node", F.explode("bands").alias("band")))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("least")).where("n > 1")
-    once = stash(buckets.groupBy("n", "members").agg(F.min("band").alias("band"), F.min("least").alias("least")).select("band", "least"))
+    once = buckets.groupBy("n", "members").agg(F.min("band").alias("band"), F.min("least").alias("least")).select("band", "least")
     members = stash(banded.join(once, "band").select("band", "least", "node"))
-    stars = stash(_star_links(members, nodes, docs, width, percent, limit))
+    drop_stash(banded)
+    stars = _star_links(members, nodes, docs, width, percent, limit)
     comps = connected_components(stars, "a", "b").select("node", "root")
     placed = stash(members.join(comps, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp")))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-    asked = meet_in_blocks(placed.join(mixed, "band", "left_semi"), ["band"], "node", block_rows)
-    rows = asked.select(*_KEYS, "side", "node", "comp").join(nodes.select("node", "n_shingles", "sketch"), "node").select(*_KEYS, "side", "node", "comp", "n_shingles", "sketch")
+    drop_stash(members)
+    asked = stash(_meet_across(placed, block_rows))
+    lists = asked.select("node", "band").distinct().groupBy("node").agg(F.sort_array(F.collect_list("band")).alias("buckets"))  # BANDS at most
+    rows = asked.join(lists.join(nodes.select("node", "n_shingles", "sketch").hint("merge"), "node").hint("merge"), "node").select(*_KEYS, "side", "node", "comp", "n_shingles", "sketch", "buckets")
     left = stash(rows.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node").mapInArrow(_near_rows(limit, percent), rows.schema))
     sets = _sets_of(docs, nodes, left.select("node").distinct(), width)
-    checked = left.join(sets, "node").select(*left.columns, "shingles").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node")
-    return stars.union(checked.mapInArrow(_confirm(limit, percent), "a long, b long"))
+    checked = left.join(sets.hint("merge"), "node").select(*left.columns, "shingles").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node")
+    links = stash(stars.union(checked.mapInArrow(_confirm(limit, percent), "a long, b long")))
+    for table in (stars, placed, asked, left, sets):
+        drop_stash(table)
+    return links
 
 
 def near_components(docs: DataFrame, width: int = 5, similarity_percent: int = 80) -> DataFrame:
@@ -269,15 +315,18 @@ def near_components(docs: DataFrame, width: int = 5, similarity_percent: int = 8
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     signed = stash(rows.mapInArrow(_sign(width), "doc_id long, th long, node long, n_shingles long, bands array<long>, sketch array<long>"))
-    some = signed.where("n_shingles > 0")
-    one = some.groupBy("node").agg(F.min("th").alias("th"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    one = signed.where("n_shingles > 0").groupBy("node").agg(F.min("th").alias("th"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stash(one)
+    light = stash(signed.select("doc_id", "th", "node", "n_shingles"))
+    drop_stash(signed)
+    some = light.where("n_shingles > 0")
     roots = connected_components(near_links(nodes, docs, width, similarity_percent), "a", "b")
     rooted = nodes.select("node", "least_id").join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = stash(rooted.join(least, "root").select("node", "component_id"))
-    found = join_hot(some.select("doc_id", "th", "n_shingles", "node"), named, ["node"], ["doc_id", "th"], some.count())
-    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    drop_stash(nodes)
+    found = join_hot(some, named, ["node"], ["doc_id", "th"], some.count())
+    empty = light.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     every = found.select("doc_id", "n_shingles", "component_id").union(empty)
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
