@@ -11,12 +11,18 @@ from pitgrid.operators.panel import as_of
 MONEY = "decimal(18,2)"
 
 
+def content_hash(*columns: str) -> Column:
+    """Hash of a row's values that tells which of them are null: xxhash64() alone skips nulls, so a value that moves from one
+    column to another that was null would go unnoticed."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
 def book(fills: DataFrame, content: list[str]) -> DataFrame:
     """One row a fill id: status BOOKED; or CONFLICT where one id came with different contents. Repeats change nothing.
 
     fills has fill_id and the columns of `content`; of a booked id its content is returned.
     """
-    same = F.count_distinct(F.xxhash64(*content))
+    same = F.count_distinct(content_hash(*content))
     booked = fills.groupBy("fill_id").agg(F.count("*").alias("received"), same.alias("contents"), *[F.min(c).alias(c) for c in content])
     return booked.withColumn("status", F.when(F.col("contents") > 1, "CONFLICT").otherwise("BOOKED")).drop("contents")
 
@@ -73,7 +79,7 @@ def advance(entitlements: DataFrame, days: DataFrame) -> DataFrame:
     RECEIVABLE or PAID. Processing a day again changes nothing. Accounts without a day are PENDING.
     """
     content = ["ex_date", "pay_date", "gross", "payment"]
-    e = entitlements.groupBy("account", "event_id").agg(F.count_distinct(F.xxhash64(*content)).alias("versions"), F.min("supplied").alias("supplied"), *[F.min(c).alias(c) for c in content])
+    e = entitlements.groupBy("account", "event_id").agg(F.count_distinct(content_hash(*content)).alias("versions"), F.min("supplied").alias("supplied"), *[F.min(c).alias(c) for c in content])
     seen = days.distinct()
     at = lambda name, on: seen.select("account", F.col("day").alias(on), F.lit(True).alias(name))
     last = days.groupBy("account").agg(F.max("day").alias("last_day"))

@@ -118,7 +118,7 @@ def fifo_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fifo_lots(A.fills(spark, sf_dir)).select("account", "lot_id", "bought", F.col("left").cast("long").alias("left"), F.col("oversold").cast("long").alias("oversold"))
 
 
-@query("LG02 SS02", with_parts("fills") + """, r AS (SELECT fill_id % 4000 AS fill_id, account, side, price, shares FROM fills WHERE side IS NOT NULL UNION ALL SELECT fill_id % 4000, account, side, price, shares FROM fills WHERE side IS NOT NULL AND fill_id % 3 = 0)
+@query("LG02", with_parts("fills") + """, r AS (SELECT fill_id % 4000 AS fill_id, account, side, price, shares FROM fills WHERE side IS NOT NULL UNION ALL SELECT fill_id % 4000, account, side, price, shares FROM fills WHERE side IS NOT NULL AND fill_id % 3 = 0)
     SELECT fill_id, count(*) AS received, CASE WHEN count(DISTINCT (account, side, price, shares)) > 1 THEN 'CONFLICT' ELSE 'BOOKED' END AS status FROM r GROUP BY 1""")
 def idempotent_booking(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = A.fills(spark, sf_dir).where("side is not null").withColumn("again", F.col("fill_id") % 3 == 0)
@@ -126,7 +126,7 @@ def idempotent_booking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.book(sent.drop("n"), ["account", "side", "price", "shares"]).select("fill_id", "received", "status")
 
 
-@query("SS01 SS03 LG07", with_parts("fills") + ", a AS (SELECT account, fill_id, ts - INTERVAL 1 HOUR * (CASE WHEN fill_id % 17 = 0 THEN 48 ELSE 0 END) AS t FROM fills) SELECT account, count(*) AS fills, count(*) FILTER (t < before) AS refused FROM (SELECT *, max(t) OVER (PARTITION BY account ORDER BY fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a) GROUP BY 1")
+@query("LG07", with_parts("fills") + ", a AS (SELECT account, fill_id, ts - INTERVAL 1 HOUR * (CASE WHEN fill_id % 17 = 0 THEN 48 ELSE 0 END) AS t FROM fills) SELECT account, count(*) AS fills, count(*) FILTER (t < before) AS refused FROM (SELECT *, max(t) OVER (PARTITION BY account ORDER BY fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a) GROUP BY 1")
 def late_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late fills are refused and counted, not dropped."""
     f = A.fills(spark, sf_dir).withColumn("t", F.when(F.col("fill_id") % 17 == 0, F.col("ts") - F.expr("interval 48 hours")).otherwise(F.col("ts")))

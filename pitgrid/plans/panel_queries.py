@@ -207,7 +207,7 @@ def cooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.thin_by_cooldown(f.select("code", "cal_idx", each), ["code", "mechanism"], "cal_idx", 6)
 
 
-@query("WN23 SS06", COOL_SQL + "SELECT code, mechanism, CAST(cal_idx AS BIGINT) AS cal_idx FROM kept WHERE cal_idx IS NOT NULL")
+@query("WN23", COOL_SQL + "SELECT code, mechanism, CAST(cal_idx AS BIGINT) AS cal_idx FROM kept WHERE cal_idx IS NOT NULL")
 def cooldown_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooled(spark, sf_dir)
 

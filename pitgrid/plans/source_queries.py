@@ -180,7 +180,7 @@ def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("all_steps_ran", ran.scalar())
 
 
-@query("SS09", with_parts("bars") + """, h AS (SELECT code, trade_date, volume < 12 AS stale, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS n FROM bars),
+@query("WN07", with_parts("bars") + """, h AS (SELECT code, trade_date, volume < 12 AS stale, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS n FROM bars),
     r AS (SELECT *, n - coalesce(max(CASE WHEN NOT stale THEN n END) OVER (PARTITION BY code ORDER BY n), 0) AS run FROM h)
     SELECT code, trade_date, CAST(run AS BIGINT) AS run, run >= 3 AS gated FROM r WHERE stale""")
 def stale_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from pitgrid.operators.ledger import content_hash
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one in local mode, as in
@@ -52,7 +54,7 @@ def seal(df: DataFrame, path: str) -> DataFrame:
 
 def _contents(spark: SparkSession, path: str) -> DataFrame:
     data = spark.read.parquet(f"{path}/data")
-    row = F.xxhash64(*data.columns)
+    row = content_hash(*data.columns)
     return data.select("_metadata.file_name", "_metadata.file_size", row.alias("h")).groupBy("file_name").agg(
         F.count("*").alias("n_rows"), F.first("file_size").alias("n_bytes"), F.expr("bit_xor(h)").alias("row_xor"), F.sum(F.col("h").cast("decimal(38,0)")).alias("row_sum"))
 
