@@ -301,14 +301,14 @@ def affordable_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("fill_id", S.affordable_lots(F.col("cash"), F.col("price"), "0.0003", "5").alias("shares"))
 
 
-@query("SC11 SC12 SC13 SC19 D12 SF28", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN value <= 0 THEN 'NON_POSITIVE' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'NO_QUANTITY' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > 90 THEN 'TOO_LARGE' ELSE '' END AS reason FROM events""")
+@query("SC19 D12 SF28", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN value <= 0 THEN 'NON_POSITIVE' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL THEN 'NO_QUANTITY' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > 90 THEN 'TOO_LARGE' ELSE '' END AS reason FROM events""")
 def quote_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T(spark, sf_dir, "events").withColumn("q", F.from_json("props", "k bigint"))
     reason = F.when(F.col("value") <= 0, "NON_POSITIVE").when(F.col("q.k").isNull(), "NO_QUANTITY").when(F.col("q.k") > 90, "TOO_LARGE").otherwise("")
     return e.select("event_id", F.col("q.k").alias("k"), reason.alias("reason"))
 
 
-@query("SC14 SF26", """SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g') AS title FROM pages""")
+@query("", """SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g') AS title FROM pages""")
 def html_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T(spark, sf_dir, "pages")
     return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("links"), F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"\s+", " ").alias("title"))
