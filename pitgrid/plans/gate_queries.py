@@ -71,7 +71,7 @@ def execution_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(p, ["code", "trade_date"], "left").groupBy("side", G.execution_rejection(F.col("side"), F.col("chg")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("PF09 PF10 PF15 JN11", with_parts("fills") + """, g AS (SELECT account, coalesce(side, 'NONE') AS side, CASE WHEN fill_id % 11 = 0 THEN NULL ELSE shares END AS shares, price, CASE WHEN fill_id % 7 = 0 THEN NULL ELSE CAST(5 AS DECIMAL(18,2)) END AS lo, CAST(60 AS DECIMAL(18,2)) AS hi, CASE WHEN fill_id % 5 = 0 THEN NULL ELSE fill_id % 13 <> 0 END AS tradable FROM fills)
+@query("PF09 PF10 JN11", with_parts("fills") + """, g AS (SELECT account, coalesce(side, 'NONE') AS side, CASE WHEN fill_id % 11 = 0 THEN NULL ELSE shares END AS shares, price, CASE WHEN fill_id % 7 = 0 THEN NULL ELSE CAST(5 AS DECIMAL(18,2)) END AS lo, CAST(60 AS DECIMAL(18,2)) AS hi, CASE WHEN fill_id % 5 = 0 THEN NULL ELSE fill_id % 13 <> 0 END AS tradable FROM fills)
     SELECT side, CASE WHEN side NOT IN ('BUY', 'SELL') THEN 'INVALID_SIDE' WHEN coalesce(shares <= 0, true) THEN 'INVALID_SHARES' WHEN lo IS NULL OR hi IS NULL THEN 'RULES_MISSING' WHEN tradable IS DISTINCT FROM true THEN 'NOT_TRADABLE' WHEN coalesce(price <= 0, true) THEN 'INVALID_PRICE' WHEN price < lo OR price > hi THEN 'PRICE_OUT_OF_BOUNDS' WHEN side = 'BUY' AND price = hi THEN 'AT_UPPER_LIMIT' WHEN side = 'SELL' AND price = lo THEN 'AT_LOWER_LIMIT'
         WHEN side = 'BUY' AND shares < 10 THEN 'BELOW_MINIMUM' WHEN side = 'BUY' AND (shares - 10) % 5 <> 0 THEN 'NOT_A_STEP' WHEN side = 'SELL' AND shares > 40 THEN 'NOT_ENOUGH_SHARES' ELSE 'PRECHECK_PASS_NOT_FILL' END AS verdict, count(*) AS n FROM g GROUP BY 1, 2""")
 def order_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def next_bar_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(b.select("code", F.col("trade_date").alias("execution_date"), F.col("open").alias("execution_open")), ["code", "execution_date"], "left").select("code", "signal_date", "execution_date", "execution_open")
 
 
-@query("JN14", """WITH a AS (SELECT c_custkey AS id, c_nationkey AS g, CAST(round(c_acctbal / 100) AS BIGINT) AS amount FROM customer), b AS (SELECT s_suppkey AS sid, s_nationkey AS g, CAST(round(s_acctbal / 100) AS BIGINT) AS amount FROM supplier),
+@query("JN12", """WITH a AS (SELECT c_custkey AS id, c_nationkey AS g, CAST(round(c_acctbal / 100) AS BIGINT) AS amount FROM customer), b AS (SELECT s_suppkey AS sid, s_nationkey AS g, CAST(round(s_acctbal / 100) AS BIGINT) AS amount FROM supplier),
     m AS (SELECT a.id, b.sid, count(*) OVER (PARTITION BY a.id) AS na, count(*) OVER (PARTITION BY b.sid) AS nb FROM a JOIN b ON a.g = b.g AND abs(a.amount - b.amount) <= 2)
     SELECT b.sid, m.id, CASE WHEN m.id IS NULL THEN 'UNUSED' WHEN na = 1 AND nb = 1 THEN 'ONE_TO_ONE' ELSE 'AMBIGUOUS' END AS status FROM b LEFT JOIN m ON m.sid = b.sid""")
 def interval_match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def interval_match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("sid").join(m, "sid", "left").select("sid", "id", status.alias("status"))
 
 
-@query("JN15 JN16 JN18 JN26", with_parts("monthly") + """, o AS (SELECT code, trade_date, close * CASE WHEN month(trade_date) = 6 THEN 1.001 ELSE 1 END AS close, volume + CASE WHEN year(trade_date) = 1999 THEN 150 ELSE 50 END AS volume FROM monthly WHERE month(trade_date) <> 2),
+@query("JN15 JN16", with_parts("monthly") + """, o AS (SELECT code, trade_date, close * CASE WHEN month(trade_date) = 6 THEN 1.001 ELSE 1 END AS close, volume + CASE WHEN year(trade_date) = 1999 THEN 150 ELSE 50 END AS volume FROM monthly WHERE month(trade_date) <> 2),
     j AS (SELECT m.code, m.trade_date, m.close AS c1, o.close AS c2, abs(m.close - o.close) > 0.0001 AS price_off, abs(m.volume - o.volume) > 100 AS volume_off, m.close / lag(m.close) OVER w - o.close / lag(o.close) OVER w AS rd FROM monthly m JOIN o USING (code, trade_date) WINDOW w AS (PARTITION BY code ORDER BY trade_date))
     SELECT code, count(*) AS compared, count(*) FILTER (price_off) AS price_differs, count(*) FILTER (volume_off) AS volume_differs, round(max(abs(rd)), 6) AS largest_return_difference FROM j GROUP BY 1""")
 def cross_source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +260,7 @@ def available_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("d", S.assumed_available_date(F.col("d")).alias("available"), F.add_months("d", -36).alias("three_years_before"))
 
 
-@query("SF07 SF08 SF09 SF10 SF11 CQ18", """WITH c AS (SELECT p_partkey, lpad(CAST((p_partkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code, p_partkey % 10 = 0 AS st, DATE '2026-06-01' + CAST(p_partkey % 90 AS INTEGER) AS d, CAST(p_retailprice AS DECIMAL(18,2)) AS pre FROM part),
+@query("SF07 SF08 SF09 SF10 SF11", """WITH c AS (SELECT p_partkey, lpad(CAST((p_partkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code, p_partkey % 10 = 0 AS st, DATE '2026-06-01' + CAST(p_partkey % 90 AS INTEGER) AS d, CAST(p_retailprice AS DECIMAL(18,2)) AS pre FROM part),
     b AS (SELECT *, CASE WHEN left(code, 3) IN ('688', '689') THEN 'star' WHEN left(code, 3) IN ('300', '301', '302') THEN 'chinext' WHEN left(code, 3) IN ('430', '920') OR left(code, 2) IN ('83', '87') THEN 'bse' ELSE 'main' END AS board FROM c),
     r AS (SELECT *, CAST(CASE WHEN board IN ('star', 'chinext') THEN 0.2 WHEN board = 'bse' THEN 0.3 WHEN st AND d < DATE '2026-07-06' THEN 0.05 ELSE 0.1 END AS DECIMAL(4,2)) AS ratio FROM b)
     SELECT code, board, CAST(ratio AS DOUBLE) AS ratio, CAST(round(pre * (1 + ratio), 2) AS DOUBLE) AS upper_limit, CAST(round(pre * (1 - ratio), 2) AS DOUBLE) AS lower_limit, CASE WHEN left(code, 1) IN ('5', '6', '9') THEN 'sh.' ELSE 'sz.' END || code AS market FROM r""")

@@ -143,7 +143,7 @@ def account_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("account", F.col("cash_change").cast("double").alias("cash_change"), "shares", F.col("fees").cast("double").alias("fees"), "fills")
 
 
-@query("LG10 AU08", with_parts("fills") + f", {_BALANCE} SELECT account, concat_ws(';', CASE WHEN CAST(account AS BIGINT) % 10 = 3 THEN 'CASH_CHANGE_DIFFERS' END, CASE WHEN CAST(account AS BIGINT) % 15 = 3 THEN 'SHARES_DIFFERS' END) AS reasons FROM bal WHERE CAST(account AS BIGINT) % 10 = 3 OR CAST(account AS BIGINT) % 15 = 3")
+@query("LG10", with_parts("fills") + f", {_BALANCE} SELECT account, concat_ws(';', CASE WHEN CAST(account AS BIGINT) % 10 = 3 THEN 'CASH_CHANGE_DIFFERS' END, CASE WHEN CAST(account AS BIGINT) % 15 = 3 THEN 'SHARES_DIFFERS' END) AS reasons FROM bal WHERE CAST(account AS BIGINT) % 10 = 3 OR CAST(account AS BIGINT) % 15 = 3")
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampered balances are found by recomputing all of them."""
     b = L.balances(A.fills(spark, sf_dir), "0.0025", "1")
@@ -172,7 +172,7 @@ def corporate_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.convert(p, spark.range(1).select(F.lit("000001").alias("code"), F.array(s("000002", "0.5"), s("000009", "1.25")).alias("successors")))
 
 
-@query("LG11 LG12 SK04", with_parts("fills") + """, l AS (SELECT account, max(day) AS day, arg_max(price, (ts, fill_id)) AS last_price, count(*) FILTER (day = DATE '2024-01-29') AS today, count(*) FILTER (date_trunc('week', day) = DATE '2024-01-29') AS this_week, count(*) FILTER (date_trunc('month', day) = DATE '2024-01-01') AS this_month, CAST(sum(CASE side WHEN 'BUY' THEN shares WHEN 'SELL' THEN -shares ELSE 0 END) AS BIGINT) AS shares FROM fills WHERE day <= DATE '2024-01-29' GROUP BY 1)
+@query("LG11 SK04", with_parts("fills") + """, l AS (SELECT account, max(day) AS day, arg_max(price, (ts, fill_id)) AS last_price, count(*) FILTER (day = DATE '2024-01-29') AS today, count(*) FILTER (date_trunc('week', day) = DATE '2024-01-29') AS this_week, count(*) FILTER (date_trunc('month', day) = DATE '2024-01-01') AS this_month, CAST(sum(CASE side WHEN 'BUY' THEN shares WHEN 'SELL' THEN -shares ELSE 0 END) AS BIGINT) AS shares FROM fills WHERE day <= DATE '2024-01-29' GROUP BY 1)
     SELECT account, today, this_week, this_month, concat_ws(';', CASE WHEN shares < 0 THEN 'SHORT' END, CASE WHEN day < DATE '2024-01-28' THEN 'STALE_PRICE' END) AS gaps, CASE WHEN shares >= 0 AND day >= DATE '2024-01-28' THEN CAST(shares * last_price AS DOUBLE) END AS value FROM l""")
 def account_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the day, week and month so far; a value only where nothing is missing."""
@@ -184,7 +184,7 @@ def account_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("account", "today", "this_week", "this_month", gaps.alias("gaps"), F.when(gaps == "", (F.col("held") * F.col("last_price")).cast("double")).alias("value"))
 
 
-@query("ML01 ML02 AG22 ML05", with_parts("bars") + """, s AS (SELECT close / lag(close, 5) OVER w - 1 AS x, volume / 100 AS z, lead(close, 2) OVER w / lead(close, 1) OVER w - 1 AS y, trade_date FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date))
+@query("AG22", with_parts("bars") + """, s AS (SELECT close / lag(close, 5) OVER w - 1 AS x, volume / 100 AS z, lead(close, 2) OVER w / lead(close, 1) OVER w - 1 AS y, trade_date FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date))
     SELECT count(*) AS n, round(sum(x), 2) AS s_x, round(sum(x * z), 2) AS p_x_z, round(sum(z * z), 2) AS p_z_z, round(sum(z * y), 2) AS p_z_y FROM s WHERE trade_date < DATE '1999-01-01' AND x IS NOT NULL AND y IS NOT NULL""")
 def ridge_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = R.gram(_samples(spark, sf_dir).where("trade_date < date'1999-01-01'"), ["x", "z"], "y")

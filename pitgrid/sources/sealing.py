@@ -21,7 +21,8 @@ def _root(spark: SparkSession, root: str) -> str:
 
 def evidence(spark: SparkSession, root: str, name: Column | None = None) -> DataFrame:
     """(name, path, n_bytes, sha256) of all files under root. The path is relative to root; name, an expression over the
-    column `path`, tells what an entry is called (its path, if not given). A file is one row: 2 GB at most."""
+    column `path`, tells what an entry is called (its path, if not given). A file is one row: 2 GB at most. Spark passes over
+    files without bytes and names that begin with a dot or an underscore; they hold no evidence here."""
     base = _root(spark, root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = found.select(F.expr(f"substring(path, {len(base) + 2})").alias("path"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
