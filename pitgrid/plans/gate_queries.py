@@ -71,7 +71,7 @@ def execution_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(p, ["code", "trade_date"], "left").groupBy("side", G.execution_rejection(F.col("side"), F.col("chg")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("PF09 PF10 JN11", with_parts("fills") + """, g AS (SELECT account, coalesce(side, 'NONE') AS side, CASE WHEN fill_id % 11 = 0 THEN NULL ELSE shares END AS shares, price, CASE WHEN fill_id % 7 = 0 THEN NULL ELSE CAST(5 AS DECIMAL(18,2)) END AS lo, CAST(60 AS DECIMAL(18,2)) AS hi, CASE WHEN fill_id % 5 = 0 THEN NULL ELSE fill_id % 13 <> 0 END AS tradable FROM fills)
+@query("PF10", with_parts("fills") + """, g AS (SELECT account, coalesce(side, 'NONE') AS side, CASE WHEN fill_id % 11 = 0 THEN NULL ELSE shares END AS shares, price, CASE WHEN fill_id % 7 = 0 THEN NULL ELSE CAST(5 AS DECIMAL(18,2)) END AS lo, CAST(60 AS DECIMAL(18,2)) AS hi, CASE WHEN fill_id % 5 = 0 THEN NULL ELSE fill_id % 13 <> 0 END AS tradable FROM fills)
     SELECT side, CASE WHEN side NOT IN ('BUY', 'SELL') THEN 'INVALID_SIDE' WHEN coalesce(shares <= 0, true) THEN 'INVALID_SHARES' WHEN lo IS NULL OR hi IS NULL THEN 'RULES_MISSING' WHEN tradable IS DISTINCT FROM true THEN 'NOT_TRADABLE' WHEN coalesce(price <= 0, true) THEN 'INVALID_PRICE' WHEN price < lo OR price > hi THEN 'PRICE_OUT_OF_BOUNDS' WHEN side = 'BUY' AND price = hi THEN 'AT_UPPER_LIMIT' WHEN side = 'SELL' AND price = lo THEN 'AT_LOWER_LIMIT'
         WHEN side = 'BUY' AND shares < 10 THEN 'BELOW_MINIMUM' WHEN side = 'BUY' AND (shares - 10) % 5 <> 0 THEN 'NOT_A_STEP' WHEN side = 'SELL' AND shares > 40 THEN 'NOT_ENOUGH_SHARES' ELSE 'PRECHECK_PASS_NOT_FILL' END AS verdict, count(*) AS n FROM g GROUP BY 1, 2""")
 def order_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def order_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("side", verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("CQ16 PF06", with_parts("bars") + """, f AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (volume < 5) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING) AS halts, CASE WHEN count(*) OVER m = 20 THEN quantile_cont(amount, 0.5) OVER m END AS med
+@query("CQ16", with_parts("bars") + """, f AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (volume < 5) OVER (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING) AS halts, CASE WHEN count(*) OVER m = 20 THEN quantile_cont(amount, 0.5) OVER m END AS med
         FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date), m AS (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING))
     SELECT CAST(year(trade_date) AS BIGINT) AS y, CASE WHEN n <= 252 THEN 'SHORT_HISTORY' WHEN halts > 4 THEN 'HALT_IN_WINDOW' WHEN volume < 5 THEN 'HALTED' WHEN coalesce(med < 40000, true) THEN 'LOW_AMOUNT' ELSE 'ELIGIBLE' END AS reason, count(*) AS n FROM f GROUP BY 1, 2""")
 def eligibility_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def _financials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("profit"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("ratio"))
 
 
-@query("PF11 CQ08 D6 D14", f"""WITH f AS ({_FIN}), p AS (SELECT c.c_custkey AS k, c.c_acctbal AS bal, max(profit) FILTER (y = 1998) AS p98, max(profit) FILTER (y = 1999) AS p99, max(profit) FILTER (y = 2000) AS p00, quantile_cont(ratio, 0.5) FILTER (y BETWEEN 1998 AND 2000) AS med FROM customer c LEFT JOIN f ON f.k = c.c_custkey GROUP BY ALL)
+@query("D6 D14", f"""WITH f AS ({_FIN}), p AS (SELECT c.c_custkey AS k, c.c_acctbal AS bal, max(profit) FILTER (y = 1998) AS p98, max(profit) FILTER (y = 1999) AS p99, max(profit) FILTER (y = 2000) AS p00, quantile_cont(ratio, 0.5) FILTER (y BETWEEN 1998 AND 2000) AS med FROM customer c LEFT JOIN f ON f.k = c.c_custkey GROUP BY ALL)
     SELECT k, concat_ws(';', CASE WHEN p98 IS NULL OR p99 IS NULL OR p00 IS NULL THEN 'MISSING_YEAR' END, CASE WHEN coalesce(least(p98, p99, p00) < 100000, true) THEN 'WEAK_YEAR' END, CASE WHEN coalesce(med < 0.3, true) THEN 'LOW_MEDIAN' END, CASE WHEN bal <= 0 THEN 'NEGATIVE_BALANCE' END) AS reasons, round(med, 6) AS median_ratio FROM p""")
 def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three years' figures of a customer, known by the end of 2000, and all reasons against it."""

@@ -152,7 +152,7 @@ def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reconcile(stored, b, "account", ["cash_change", "shares"])
 
 
-@query("LG06 PF13 PF14", with_parts("fills") + """, p AS (SELECT account, lpad(CAST(fill_id % 5 AS VARCHAR), 6, '0') AS code, day, CAST(CASE WHEN side = 'SELL' THEN -shares ELSE shares END AS BIGINT) AS change FROM fills WHERE side IS NOT NULL),
+@query("LG06", with_parts("fills") + """, p AS (SELECT account, lpad(CAST(fill_id % 5 AS VARCHAR), 6, '0') AS code, day, CAST(CASE WHEN side = 'SELL' THEN -shares ELSE shares END AS BIGINT) AS change FROM fills WHERE side IS NOT NULL),
     e AS (SELECT n AS event_id, lpad(CAST(n % 5 AS VARCHAR), 6, '0') AS code, DATE '2024-01-05' + CAST(n AS INTEGER) AS rec, DATE '2024-01-05' + CAST(n AS INTEGER) + CASE WHEN n % 4 = 0 THEN 0 ELSE 1 END AS ex, DATE '2024-01-12' + CAST(n AS INTEGER) AS pay, CAST(0.1 + n * 0.01 AS DECIMAL(10,4)) AS per FROM range(12) t(n)),
     h AS (SELECT e.event_id, p.account, CAST(sum(change) AS BIGINT) AS held FROM e JOIN p ON p.code = e.code AND p.day <= e.rec GROUP BY 1, 2 HAVING sum(change) > 0)
     SELECT h.event_id, h.account, h.held, CAST(CAST(held * per AS DECIMAL(18,2)) AS DOUBLE) AS gross, CAST(round(CAST(held * per AS DECIMAL(18,2)) * 0.2, 2) AS DOUBLE) AS withheld, CASE WHEN rec < ex AND ex <= pay THEN 'ACCEPTED' ELSE 'REFUSED' END AS status FROM h JOIN e USING (event_id)""")

@@ -64,7 +64,7 @@ def payload_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(P.wrapped_days(b.select(F.col("code").alias("payload_id"), raw.alias("raw"))))
 
 
-@query("SC13", with_parts("monthly") + """, fault AS (SELECT code, CAST(code AS BIGINT) AS k, CASE WHEN k % 13 = 5 THEN 'API_ERROR' WHEN k % 11 = 4 THEN 'LENGTHS_DIFFER' WHEN k % 7 = 3 THEN 'WRONG_SYMBOL' WHEN k % 17 = 2 THEN 'NOT_ONE_RESULT' ELSE '' END AS reason FROM (SELECT DISTINCT code FROM monthly)),
+@query("SC13", with_parts("monthly") + """, fault AS (SELECT code, CAST(code AS BIGINT) AS k, CASE WHEN k % 13 = 5 THEN 'API_ERROR' WHEN k % 17 = 2 THEN 'NOT_ONE_RESULT' WHEN k % 7 = 3 THEN 'WRONG_SYMBOL' WHEN k % 11 = 4 THEN 'LENGTHS_DIFFER' ELSE '' END AS reason FROM (SELECT DISTINCT code FROM monthly)),
     g AS (""" + _GOOD + """), h AS (SELECT g.*, month(day) = 7 AS lost FROM g JOIN fault ON fault.code = g.payload_id AND fault.reason = '')
     SELECT payload_id, position, day, CASE WHEN NOT lost THEN open END AS open, CASE WHEN NOT lost THEN high END AS high, CASE WHEN NOT lost THEN low END AS low, CASE WHEN NOT lost THEN close END AS close, CASE WHEN NOT lost THEN volume END AS volume, CASE WHEN lost THEN 'MISSING' ELSE '' END AS reason FROM h
     UNION ALL SELECT code, 0, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM fault WHERE reason <> ''""")
