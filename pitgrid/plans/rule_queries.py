@@ -89,7 +89,7 @@ def complete_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "trade_date", "reason")
 
 
-@query("PF13 PF14", """WITH p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k, CASE WHEN k % 31 = 0 THEN 'MISSING:source,sha256' WHEN k % 29 = 1 THEN 'UNKNOWN_EVENT_TYPE' WHEN k % 23 = 2 THEN 'UNKNOWN_PRICE_BASIS' WHEN k % 19 = 3 OR k % 21 = 10 THEN 'BAD_DATE_OR_PRICE' END AS base, k % 17 = 4 AS late, k % 13 = 5 AS basis, k % 11 AS price, k % 7 = 6 AS undated, k % 27 = 8 AS early FROM p)
+@query("PF13 PF14", """WITH p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k, CASE WHEN k % 31 = 0 THEN 'MISSING:source,sha256' WHEN k % 29 = 1 THEN 'UNKNOWN_EVENT_TYPE' WHEN k % 23 = 2 THEN 'UNKNOWN_PRICE_BASIS' WHEN k % 19 = 3 OR k % 21 = 10 THEN 'BAD_DATE_OR_PRICE' END AS base, k % 17 = 4 AS late, k % 13 = 5 AND k % 23 <> 2 AS basis, CASE WHEN k % 21 = 10 THEN 3 ELSE k % 11 END AS price, k % 7 = 6 AS undated, k % 27 = 8 AS early FROM p)
     SELECT k, coalesce(base, CASE WHEN late THEN 'DATES_OUT_OF_ORDER' WHEN basis AND price <> 0 THEN 'UNKNOWN_BASIS_WITH_PRICE' ELSE '' END) AS event_problem,
         coalesce(base, CASE WHEN undated THEN 'BAD_DATE_OR_PRICE' WHEN late OR early THEN 'DATES_OUT_OF_ORDER' WHEN price = 0 AND NOT basis THEN 'PRICE_NOT_POSITIVE' ELSE '' END) AS delisting_problem,
         CASE WHEN k % 31 = 0 THEN 'MISSING:source' WHEN k % 29 = 1 THEN 'UNKNOWN_ACTION_TYPE' WHEN k % 19 = 3 THEN 'BAD_DATE_OR_PRICE' WHEN k % 10 = 0 THEN 'NO_SUCCESSOR' WHEN k % 10 = 1 THEN 'SUCCESSOR_INCOMPLETE' WHEN k % 10 = 2 THEN 'BAD_SUCCESSOR_CODE' WHEN k % 10 = 3 THEN 'BAD_SHARE_RATIO' WHEN k % 10 = 4 THEN 'SHARE_RATIO_NOT_POSITIVE' WHEN basis AND price <> 0 THEN 'UNKNOWN_BASIS_WITH_PRICE' ELSE '' END AS action_problem,
