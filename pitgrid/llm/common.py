@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -137,6 +137,17 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: list[st
     return salted.join(spread_out.hint("merge"), [*keys, "salt"]).drop("salt")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a whole row that tells which values are null: xxhash64() alone skips nulls, so rows whose values stand in other
+    columns would hash alike. Values of nested types are hashed as JSON, nulls included, as maps can't be hashed."""
+    parts = []
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        nested = field.dataType.typeName() in ("array", "map", "struct")
+        parts += [c.isNull(), F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if nested else c]
+    return F.xxhash64(*parts)
+
+
 def global_rank(df: DataFrame, groups: list[str], order: list[str], rows_per_bucket: int = 20_000, n_rows: int | None = None) -> DataFrame:
     """Add rank_in_group (from 0) in the order of the columns `order`, of which the first is a uniform long hash.
 

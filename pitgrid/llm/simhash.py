@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.common import group_starts, meet_in_blocks, small_batches, sorted_groups, stash
+from pitgrid.llm.common import group_starts, meet_in_blocks, row_hash, small_batches, sorted_groups, stash
 from pitgrid.llm.components import connected_components
 
 SEED = 42
@@ -197,12 +197,6 @@ def fingerprint_links(fps: DataFrame, radius: int, block_rows: int = 4000) -> Da
     return met.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_shard_links(radius, keys), "a long, b long")
 
 
-def wide_radius(similarity: float) -> int:
-    """Bits in which sets of this Jaccard similarity differ on average, and 1.3 standard deviations more."""
-    n, p = 64 * WIDE_WORDS, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(n * p + 1.3 * math.sqrt(n * p * (1 - p)))
-
-
 def _samples(tables: int, bits: int):
     """Keys of a fingerprint: random samples of its bits, the same for all."""
     rng = np.random.Generator(np.random.PCG64(53))
@@ -285,7 +279,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, bl
             fps = [wide_majority(x) for x in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids), pa.array(fps, pa.binary())], ["doc_id", "th", "row_key", "set_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.xxhash64(*docs.columns).alias("row_key"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), row_hash(docs).alias("row_key"), "text")
     found = stash(rows.mapInArrow(run, "doc_id long, th long, row_key long, set_id long, fp binary").withColumn("id", F.xxhash64("fp")))
     nodes = stash(found.groupBy("id").agg(F.first("fp").alias("fp")))
     tables, bits = tables_for(nodes.count(), similarity)
@@ -331,19 +325,13 @@ def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4) -> Data
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_per_component(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without all but the document of the smallest doc_id of each near-duplicate class; all columns stay."""
-    kept = similar_components(docs, width, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-
-
 def keep_one_row_per_class(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with exactly one row of each near-duplicate class; all columns stay.
 
     The first row by doc_id (null last), text and whole row (hashes of both) stays. Rows that are alike in all columns
-    count as one; a doc_id that occurs with different texts is as many documents.
+    count as one (nulls are values); a doc_id that occurs with different texts is as many documents.
     """
     first = similar_classes(docs, width, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "row_key")).alias("kept"))
-    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"), F.xxhash64(*docs.columns).alias("row_key"))  # whatever the caller's columns are named
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"), row_hash(docs).alias("row_key"))  # whatever the caller's columns are named
     kept = keyed.join(first.select(F.col("kept.row_key").alias("row_key")), "row_key", "left_semi")
     return kept.dropDuplicates(["row_key"]).select("own.*")

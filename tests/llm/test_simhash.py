@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from pitgrid.llm.common import meet_in_blocks
 from pitgrid.llm.components import connected_components
-from pitgrid.llm.simhash import MISSED, BKTree, fingerprint, fingerprint_links, keep_one_per_component, keep_one_row_per_class, similar_components, simhash_components, tables_for
+from pitgrid.llm.simhash import MISSED, BKTree, fingerprint, fingerprint_links, keep_one_row_per_class, similar_components, simhash_components, tables_for
 
 from .corpus import edge_docs, empty_docs, small_docs, small_pandas
 
@@ -111,13 +111,6 @@ def test_edge_cases(spark):
     assert simhash_components(empty_docs(spark)).count() == 0
 
 
-def test_one_document_of_each_class_stays(spark):
-    docs = edge_docs(spark)
-    kept = keep_one_per_component(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 9, 9]
-
-
 def test_one_row_of_each_class_stays_whatever_its_id(spark):
     docs = edge_docs(spark)
     kept = keep_one_row_per_class(docs)
@@ -128,6 +121,26 @@ def test_one_row_of_each_class_stays_whatever_its_id(spark):
     assert sorted((r.doc_id or 0, r.text) for r in keep_one_row_per_class(twice).collect()) == [(0, "alone"), (5, "one text"), (5, long)]
 
 
+def test_values_in_other_columns_make_another_row(spark):
+    """A hash that skips nulls would take these for one row, and the document with the text would be lost."""
+    rows = [(1, None, "some text", "a", {"k": 1}), (1, "some text", None, "a", None), (1, "some text", None, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, more map<string,int>")
+    assert sorted((r.text or "", r.lang or "") for r in keep_one_row_per_class(docs).collect()) == [("", "some text"), ("some text", "")]
+
+
+def test_raw_near_copies_against_all_pairs(spark):
+    """The whole table before any line is removed: pairs at 0.8 or more are in one class, by exact shingles."""
+    from .corpus import small_pandas
+
+    docs = small_pandas()
+    texts = [(int(d), t) for d, t in zip(docs.doc_id, docs.text) if t]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts if (w := t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split())}
+    ids = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len(pairs) > 5 and sum(found[a] != found[b] for a, b in pairs) <= 0.05 * len(pairs)
+
+
 def test_classes_are_those_of_exact_similarity(spark):
     """Against all pairs: copies on either side of 0.8, some (0.7) within the bits but not alike."""
     rng = np.random.default_rng(8)
