@@ -177,7 +177,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     both = keyed.join(gone, ["did", "th"], "left")
     text = F.col("own.text")
     lines = F.split(text, "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")  # by hash, in order: a search of each line's place would be quadratic
+    left = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     kept = F.when(F.col("gone").isNull(), text).otherwise(left)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
@@ -104,3 +106,13 @@ def test_edge_cases(spark):
     kept = {r.doc_id for r in drop_emptied(out).collect()}
     assert {1, 2, 3, 4, 6, 9} <= kept and not {5, 7} & kept
     assert dedup_lines(empty_docs(spark)).count() == 0
+
+
+def test_long_texts_are_linear(spark):
+    """A text of 400,000 lines, most of them removed: minutes or more, if each line were looked up among them."""
+    lines = [f"a line that comes again, number {i % 1000 * 7919}" for i in range(400_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.monotonic()
+    (r,) = dedup_lines(docs).collect()
+    assert r.n_lines == 400_000 and 399_000 <= r.n_removed < 400_000 and len(r.text.split("\n")) == 400_000 - r.n_removed
+    assert time.monotonic() - began < 150
