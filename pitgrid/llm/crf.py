@@ -8,6 +8,7 @@ of labelled documents (their label is that of their lines), starting from, and d
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from pitgrid.llm.common import small_batches
 
 #: Bound of the labelled sample.
 TRAINING_DOCS = 1500
+#: Lines that a document teaches at most.
+TRAINING_LINES = 300
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -172,10 +175,11 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 250, rate: float
     return Chain(theta[:d].copy(), theta[d:].reshape(2, 2).copy())
 
 
-def training_sequences(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCS) -> list[tuple[np.ndarray, int]]:
+def training_sequences(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_DOCS, most_lines: int = TRAINING_LINES) -> list[tuple[np.ndarray, int]]:
     """Line features of at most `limit` labelled documents, those of the smallest seeded hash of doc_id.
 
-    Documents that fail the base rules teach nothing about lines and are left out. Of labels that conflict the lower counts.
+    Of a document with more than most_lines lines, as many in a row are taken, from a place that its id's CRC-32 picks; the
+    sample is bounded so in documents and in lines. Documents that fail the base rules teach nothing about lines and are left out. Of labels that conflict the lower counts.
     """
     small_batches(docs.sparkSession)
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
@@ -184,9 +188,11 @@ def training_sequences(docs: DataFrame, labels: DataFrame, limit: int = TRAINING
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, ys = [], []
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            for doc_id, text, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
                 base, _, features = describe(text or "")
                 if not base_fails(base):
+                    first = zlib.crc32(str(doc_id).encode()) % max(1, len(features) - most_lines + 1)
+                    features = features[first : first + most_lines]
                     found.append(features.ravel().tolist())
                     ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(found, pa.list_(pa.float64()))], ["label", "features"])

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pitgrid.llm.crf import FEATURES, Chain, base_fails, describe, fit, judge, keep_good, quality_verdicts
+from pitgrid.llm.crf import FEATURES, TRAINING_LINES, Chain, base_fails, describe, fit, judge, keep_good, quality_verdicts, training_sequences
 
 from .corpus import SF, edge_docs, empty_docs
 
@@ -99,3 +99,14 @@ def test_edge_cases(spark):
     assert kept.schema == docs.schema
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
     assert quality_verdicts(empty_docs(spark), labels.limit(0)).count() == 0
+
+
+def test_a_long_labelled_text_teaches_a_bounded_number_of_lines(spark):
+    """The fit doesn't grow with the longest text: its lines in a row, the same each time."""
+    long = "\n".join(f"line {i} of {i * 7919 % 104729} words and {i * 31 % 9973} more" for i in range(100_000))
+    rows = [(1, long), (2, "\n".join(f"short {i} text {i * i} with some words of its own" for i in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once, again = (training_sequences(docs, labels) for _ in range(2))
+    assert sorted(len(f) for f, _ in once) == [20, TRAINING_LINES]
+    assert all((a[0] == b[0]).all() for a, b in zip(once, again))
