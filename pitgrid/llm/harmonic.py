@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,29 +86,31 @@ def worker_ids(tokenizer_path: str, pattern: str, added_as_text: bool) -> TokenI
     return TokenIds(tokenizer_path, pattern, added_as_text)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, with_ids: bool = False, added_as_text: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, piece_class[, ids]: the pieces of every row of docs."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, with_ids: bool = False, added_as_text: bool = False, order: str | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, piece_class, position[, ids]: the pieces of every row of docs; position
+    is the column named by order, or 0."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_class int" + ", ids binary" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece_class int, position long" + ", ids binary" * with_ids
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_ids(tokenizer_path, pattern, added_as_text)
         for batch in batches:
-            out: list[list] = [[] for _ in range(6 + with_ids)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            out: list[list] = [[] for _ in range(7 + with_ids)]
+            for doc_id, text, position in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "position"))):
                 ids = encoder.encode(text or "") + end
                 total, at = len(ids) // 4, 0
                 for length, j in cut_plan(total, capacity):
                     part = ids[4 * at : 4 * (at + length)]
-                    for col, v in zip(out, (doc_id, at, length, zlib.crc32(part), total, j, part)):
+                    for col, v in zip(out, (doc_id, at, length, zlib.crc32(part), total, j, position, part)):
                         col.append(v)
                     at += length
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece_class", "ids"]
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece_class", "position", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names[: len(out)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    position = F.lit(0) if order is None else F.col(order)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", position.cast("long").alias("position")).mapInArrow(run, schema)
 
 
 def _merge_part_filled(loads: list[tuple[int, int]], capacity: int) -> dict[int, tuple[int, int]]:
@@ -124,17 +126,28 @@ def _merge_part_filled(loads: list[tuple[int, int]], capacity: int) -> dict[int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, with_ids: bool = False, added_as_text: bool = False) -> DataFrame:
+def _spread(pieces: DataFrame, position: Column) -> Column:
+    """Positions stretched over the whole range of longs, in the same order: what global_rank() cuts into even buckets."""
+    last = pieces.agg(F.max("position")).first()[0] or 0
+    return (((position + 0.5) / float(last + 1) - 0.5) * float((1 << 64) - (1 << 12))).cast("long")
+
+
+def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, with_ids: bool = False, added_as_text: bool = False, order: str | None = None) -> DataFrame:
     """Pack all rows of docs (doc_id, text; other columns are ignored) into sequences of at most `capacity` tokens.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, the ids
     (little-endian 32-bit) themselves. Ids are those of Tokenizer.encode(text, add_special_tokens=False), so the string of
     an added token is that token, unless added_as_text. Null and empty texts are the end id alone; repeated rows and rows of a null
-    doc_id are packed one by one; very long texts fill whole sequences. An empty table gives an empty one.
+    doc_id are packed one by one; very long texts fill whole sequences. An empty table gives an empty one. With order, the name of a
+    column of places from 0, pieces of a class are put together in that order, and sequences are numbered by the first place
+    in them, so that sequences by number follow it.
     """
-    pieces = stash(token_pieces(docs, tokenizer_path, pattern, capacity, with_ids, added_as_text))
-    hashed = pieces.withColumn("order_hash", F.xxhash64("doc_id", "start", "ids_crc32"))
-    ranked = global_rank(hashed, ["piece_class"], ["order_hash", "doc_id", "start"])
+    pieces = stash(token_pieces(docs, tokenizer_path, pattern, capacity, with_ids, added_as_text, order))
+    if order is None:
+        hashed, by = pieces.withColumn("order_hash", F.xxhash64("doc_id", "start", "ids_crc32")), ["order_hash", "doc_id", "start"]
+    else:
+        hashed, by = pieces.withColumn("order_hash", _spread(pieces, F.col("position"))), ["order_hash", "position", "doc_id", "start", "ids_crc32"]
+    ranked = global_rank(hashed, ["piece_class"], by)
     in_bin = W.partitionBy("piece_class", "bin").orderBy("rank_in_group").rowsBetween(W.unboundedPreceding, -1)
     placed = ranked.withColumn("bin", F.floor(F.col("rank_in_group") / F.col("piece_class"))).withColumn("inside", F.coalesce(F.sum("length").over(in_bin), F.lit(0)))
     placed = stash(placed.drop("order_hash", "rank_in_group"))
@@ -151,9 +164,15 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 204
         first += full
     table = docs.sparkSession.createDataFrame(rows, "piece_class int, full_bins long, first_bin long, part_bin long, part_offset long")
     whole = F.col("bin") < F.col("full_bins")
-    return placed.join(F.broadcast(table), "piece_class").select(
+    out = placed.join(F.broadcast(table), "piece_class").select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         F.when(whole, F.col("first_bin") + F.col("bin")).otherwise(F.col("part_bin")).cast("long").alias("sequence_id"),
         F.when(whole, F.col("inside")).otherwise(F.col("inside") + F.col("part_offset")).cast("long").alias("offset"),
-        *(["ids"] if with_ids else []),
+        *(["ids"] if with_ids else []), "position",
     )
+    if order is None:
+        return out.drop("position")
+    out = stash(out)
+    sequences = out.groupBy("sequence_id").agg(F.min("position").alias("position")).withColumn("one", F.lit(0))
+    numbered = global_rank(sequences.withColumn("order_hash", _spread(out, F.col("position"))), ["one"], ["order_hash", "position", "sequence_id"])
+    return out.drop("position").join(numbered.select("sequence_id", F.col("rank_in_group").alias("new_id")), "sequence_id").select(*[F.col("new_id").alias(c) if c == "sequence_id" else c for c in out.columns if c != "position"])

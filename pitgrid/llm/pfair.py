@@ -121,10 +121,19 @@ def mix(docs: DataFrame, smoothing: float = SMOOTHING, targets: DataFrame | None
     )
 
 
-def keep_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs in the mix, sorted by slot; all columns stay. Repeated rows stand where the first of them does."""
-    placed = mix(docs, **options).where("in_mix").groupBy("doc_id", "th", "source").agg(F.min(F.struct("slot", "place")).alias("mix_at"))
-    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("own"))  # whatever the caller's columns are named
+def mix_positions(docs: DataFrame, name: str = "mix_position", **options) -> DataFrame:
+    """docs in the mix, all columns, with their place in its order added as the column `name` (gaps are possible). Repeated
+    rows stand where the first of them does. A column of that name is replaced."""
+    block_docs = options.get("block_docs", BLOCK_DOCS)
+    placed = mix(docs, **options).where("in_mix").groupBy("doc_id", "th", "source").agg(F.min(F.col("slot") * block_docs + F.col("place")).alias("mix_at"))
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != name]).alias("own"))  # whatever the caller's columns are named
     own = lambda c: F.col("own").getField(c)
     same = own("doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(own("text")) == F.col("th")) & own("source").cast("string").eqNullSafe(F.col("source"))
-    return keyed.join(placed, same).orderBy("mix_at").select("own.*")
+    return keyed.join(placed, same).select("own.*", F.col("mix_at").alias(name))
+
+
+def keep_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs in the mix, sorted by slot; all columns stay. Files don't promise the order to who reads them: mix_positions()
+    of the rows gives it again, as it depends on nothing but the rows."""
+    ordered = mix_positions(docs, "_mix_order", **options)
+    return ordered.orderBy("_mix_order").select(*docs.columns)

@@ -6,11 +6,50 @@ from collections import defaultdict
 import __spark_entry__
 import corpus_pipeline
 from pitgrid.llm.crf import base_fails, describe
-from pitgrid.llm.simhash import similar_components, wide_fingerprint, wide_radius
+from pitgrid.llm.pfair import mix_positions
+from pitgrid.llm.simhash import similar_components
 
 from .corpus import SF, edge_docs, empty_docs, small_docs, small_pandas
 from .test_fuzzy_lines import plain as plain_lines
-from .test_simhash import plain_components
+
+
+def exact_firsts(texts):
+    """Smallest ids of the classes of 0.8 similarity, of all pairs."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = sorted(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").translate(lower).split() for _, t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    return {texts[r][0] for r in set(root)}
+
+
+def test_packed_sequences_follow_the_mix(spark):
+    """The number of a sequence grows with the first place of the mix in it; other targets give other sequences."""
+    docs = small_docs(spark)
+    place = {r.doc_id: r.mix_position for r in mix_positions(docs).collect()}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    first = {}
+    for p in pieces:
+        first[p.sequence_id] = min(place[p.doc_id], first.get(p.sequence_id, place[p.doc_id]))
+    assert sorted(first) == list(range(len(first)))
+    assert [first[s] for s in sorted(first)] == sorted(first.values())
+    tokens = defaultdict(int)
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert tokens[p.sequence_id] == p.offset
+        tokens[p.sequence_id] += p.length
+    assert max(tokens.values()) <= 2048
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    early = [d for d in sorted(place, key=place.get)][: len(place) // 3]  # before a source runs out
+    sizes = defaultdict(int)
+    for d in place:
+        sizes[source[d]] += 1
+    weight = {s: n**0.7 for s, n in sizes.items()}
+    for s in sizes:
+        assert abs(sum(source[d] == s for d in early) - len(early) * weight[s] / sum(weight.values())) <= 4 * (2 + len(sizes) / 2)
 
 
 def test_stages_in_order(spark):
@@ -34,9 +73,7 @@ def test_stages_in_order(spark):
     assert all(r.n_chars == len(r.text) for r in after)
     before, after = seen["near_dedup"]
     before = sorted(before, key=lambda r: r.doc_id)
-    fps = [int.from_bytes(wide_fingerprint(r.text, 5), "little") for r in before]
-    firsts = {before[i].doc_id for i in set(plain_components(fps, wide_radius(0.8)))}
-    assert len({r.doc_id for r in after} ^ firsts) <= 1
+    assert len({r.doc_id for r in after} ^ exact_firsts([(r.doc_id, r.text) for r in before])) <= 1
     before, after = seen["mix_sources"]
     assert {r.doc_id for r in after} <= {r.doc_id for r in before} and len(after) > 0.5 * len(before)
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
@@ -58,9 +95,7 @@ def test_similar_texts_are_one_class(spark):
     rows = similar_components(spark.createDataFrame(texts + edited, "doc_id long, text string")).collect()
     found = {r.doc_id: r.component_id for r in rows}
     assert sum(found[10_000 + d] == found[d] for d, _ in texts) >= 38
-    plain = plain_components([int.from_bytes(wide_fingerprint(t, 5), "little") for _, t in texts + edited], wide_radius(0.8))
-    ids = [d for d, _ in texts + edited]
-    assert len({ids[p] for p in plain} ^ set(found.values())) <= 1
+    assert len(exact_firsts(texts + edited) ^ set(found.values())) <= 1
 
 
 def test_edge_cases(spark):
