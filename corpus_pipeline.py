@@ -13,7 +13,7 @@ from pitgrid.llm.common import documents, drop_stash, scratch, stash
 from pitgrid.llm.crf import keep_good
 from pitgrid.llm.fuzzy_lines import dedup_lines, drop_emptied
 from pitgrid.llm.harmonic import pack
-from pitgrid.llm.pfair import keep_mix
+from pitgrid.llm.pfair import keep_mix, mix_positions
 from pitgrid.llm.simhash import keep_one_row_per_class
 
 
@@ -35,15 +35,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to the power 0.7 of their sizes, in the order of their slots; none goes."""
+    """Sources in proportion to the power 0.7 of their sizes, in the order of their slots; none goes. A table read back has
+    lost that order, but it follows from the rows: the next stage asks for it again and packs by it."""
     return keep_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of 2048."""
+    """Pieces of token sequences of 2048, numbered in the order of the mix."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=2048)
+    return pack(mix_positions(docs), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, capacity=2048, order="mix_position")
 
 
 STAGES = [
