@@ -35,6 +35,9 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 #: Standard deviations by which the sketches of a pair at the asked similarity may differ more than they do on average.
 SIGMAS = 5
 BLOCK_ROWS = 500
+#: Up to so many keys of wanted texts are broadcast (8 bytes each), so that the other texts stay where they are; more are
+#: joined by a shuffle.
+BROADCAST_TEXTS = 2_000_000
 _CHUNK = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(67))
 _XOR = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -228,7 +231,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -
     texts = stash(nodes.join(wanted, "node", "left_semi").select("node", "th"))
     keyed = docs.select(F.xxhash64("text").alias("th"), "text").where("text is not null")
     # one row of each text: copies are told apart by nothing but their ids
-    found = keyed.join(texts.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+    keys = texts.select("th")
+    found = keyed.join(F.broadcast(keys) if texts.count() <= BROADCAST_TEXTS else keys, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
     sets = stash(found.mapInArrow(_sets(width), "th long, shingles array<long>").join(texts, "th").select("node", "shingles"))
     drop_stash(texts)
     return sets
