@@ -177,8 +177,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     both = keyed.join(gone, ["did", "th"], "left")
     text = F.col("own.text")
     lines = F.split(text, "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")  # by hash, in order: a search of each line's place would be quadratic
-    left = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    # by hash, in order, and split once (hence the array of one): a search or a split for each line would be quadratic
+    places = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
+    left = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(places(own), lambda i: F.get(own, i)), "\n")), F.lit(0))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     kept = F.when(F.col("gone").isNull(), text).otherwise(left)
