@@ -99,5 +99,27 @@ def affordable_lots(cash: Column, price: Column, rate: str, least: str, lot: int
     return F.coalesce(F.array_max(F.filter(tries, lambda n: (n == 0) | (cost(n) <= cash))), F.lit(0).cast("bigint")) * lot
 
 
+def opening_size(cash: Column, single: Column, portfolio: Column, price: Column, minimum: Column, step: Column, rate: str, least: str) -> Column:
+    """The largest legal purchase, minimum + k step shares, whose cost and commission stay within the least of three budgets:
+    a struct of status, shares, gross, fees, required and budget. Amounts are non-negative decimals; what can't be read, or
+    a price, minimum or step that isn't positive, is INVALID_INPUT with no shares."""
+    money = "decimal(18,2)"
+    budget = F.when(cash.isNotNull() & single.isNotNull() & portfolio.isNotNull(), F.least(cash, single, portfolio)).cast(money)
+    nothing = F.lit(0).cast(money)
+    gross = lambda n: (price * n).cast(money)
+    required = lambda n: (gross(n) + commission(gross(n), rate, least)).cast(money)
+    alone = [(budget - F.lit(least).cast(money)) / price, budget / (price * (1 + F.lit(rate).cast("decimal(8,6)")))]
+    # the commission is either the least or a share: the answer lies within a step of what either alone would allow
+    tries = F.array(*[minimum + F.greatest(F.floor((n - minimum) / step).cast("bigint") + k, F.lit(0).cast("bigint")) * step for n in alone for k in (-1, 0, 1)])
+    shares = F.array_max(F.filter(tries, lambda n: required(n) <= budget))
+    bad = ~F.coalesce((budget >= 0) & (price > 0) & (minimum > 0) & (step > 0), F.lit(False))
+    out = lambda status, n, g, r: F.struct(F.lit(status).alias("status"), n.cast("bigint").alias("shares"), g.alias("gross"), (r - g).cast(money).alias("fees"), r.alias("required"), budget.alias("budget"))
+    none = F.lit(0)
+    return (
+        F.when(bad, out("INVALID_INPUT", none, nothing, nothing)).when(F.coalesce(required(minimum) > budget, F.lit(True)), out("BUDGET_BELOW_MINIMUM_LOT", none, nothing, nothing))
+        .otherwise(out("SIZED_NOT_EXECUTED", shares, gross(shares), required(shares)))
+    )
+
+
 def phase_of(year: Column) -> Column:
     return F.when(year <= 1996, "EARLY").when(year <= 1998, "MIDDLE").when(year <= 2000, "LATE").otherwise("LAST")

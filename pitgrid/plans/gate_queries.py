@@ -31,12 +31,12 @@ def dq_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T(spark, sf_dir, "events").withColumn("before", before).groupBy("user_id").agg(F.count_if(F.col("ts") <= F.col("before")).alias("not_ascending"))
 
 
-@query("QG06 AG27", "SELECT 'lang' AS field, count(nullif(lang, '')) AS filled FROM documents UNION ALL SELECT 'source', count(nullif(source, '')) FROM documents UNION ALL SELECT 'text', count(nullif(text, '')) FROM documents")
+@query("QG06", "SELECT 'lang' AS field, count(nullif(lang, '')) AS filled FROM documents UNION ALL SELECT 'source', count(nullif(source, '')) FROM documents UNION ALL SELECT 'text', count(nullif(text, '')) FROM documents")
 def dq_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.missing_fields(T(spark, sf_dir, "documents"), "lang", "source", "text")
 
 
-@query("QG07 QG05", with_parts("bars") + "SELECT trade_date, count(*) AS codes, count(*) >= 0.95 * (SELECT count(DISTINCT code) FROM bars) AS covered FROM bars WHERE trade_date > DATE '2001-06-30' GROUP BY 1")
+@query("QG07", with_parts("bars") + "SELECT trade_date, count(*) AS codes, count(*) >= 0.95 * (SELECT count(DISTINCT code) FROM bars) AS covered FROM bars WHERE trade_date > DATE '2001-06-30' GROUP BY 1")
 def dq_coverage_after_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = A.bars(spark, sf_dir)
     n = b.agg(F.countDistinct("code").alias("n"))
@@ -44,7 +44,7 @@ def dq_coverage_after_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.withColumn("n", n.scalar()).select("trade_date", "codes", (F.col("codes") >= 0.95 * F.col("n")).alias("covered"))
 
 
-@query("QG08 QG09 AG15", with_parts("members") + "SELECT count(DISTINCT observed_date) AS snapshots, count(DISTINCT h) AS different_sets, max(n) AS largest FROM (SELECT observed_date, sha256(string_agg(code, ',' ORDER BY code)) AS h, count(*) AS n FROM members GROUP BY 1)")
+@query("AG15", with_parts("members") + "SELECT count(DISTINCT observed_date) AS snapshots, count(DISTINCT h) AS different_sets, max(n) AS largest FROM (SELECT observed_date, sha256(string_agg(code, ',' ORDER BY code)) AS h, count(*) AS n FROM members GROUP BY 1)")
 def member_set_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A set's identity is the hash of its sorted members."""
     sets = A.members(spark, sf_dir).groupBy("observed_date").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("code")), ","), 256).alias("h"), F.count("*").alias("n"))
@@ -61,7 +61,7 @@ def calendar_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.exceptAll(b).withColumn("only", F.lit("orders")).union(inside.exceptAll(a).withColumn("only", F.lit("lineitem")))
 
 
-@query("PF07 PF08 JN10 CQ19", with_parts("bars") + """, o AS (SELECT o_orderkey, lpad(CAST(o_custkey % 10 AS VARCHAR), 6, '0') AS code, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM orders),
+@query("PF07 PF08 JN10", with_parts("bars") + """, o AS (SELECT o_orderkey, lpad(CAST(o_custkey % 10 AS VARCHAR), 6, '0') AS code, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side FROM orders),
     p AS (SELECT *, (close / lag(close) OVER (PARTITION BY code ORDER BY trade_date) - 1) * 100 AS chg FROM bars)
     SELECT side, CASE WHEN close IS NULL THEN 'MISSING_MARKET_ROW' WHEN coalesce(volume, 0) <= 0 THEN 'SUSPENDED_OR_ZERO_VOLUME' WHEN open IS NULL OR open <= 0 THEN 'MISSING_OR_NONPOSITIVE_OPEN' WHEN side = 'BUY' AND open = high AND high = low AND chg > 4.5 THEN 'ONE_PRICE_LIMIT_UP' WHEN side = 'SELL' AND open = high AND high = low AND chg < -4.5 THEN 'ONE_PRICE_LIMIT_DOWN' ELSE '' END AS reason, count(*) AS n
     FROM o LEFT JOIN p ON p.code = o.code AND p.trade_date = o.d GROUP BY 1, 2""")
@@ -113,7 +113,7 @@ def quality_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("k", reasons.alias("reasons"), F.round("med", 6).alias("median_ratio"))
 
 
-@query("JN01 AU09", with_parts("bars", "monthly") + """, adj AS (SELECT l_suppkey, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS trade_date, max(l_discount) AS factor, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem WHERE l_tax < 0.08 GROUP BY ALL)
+@query("JN01", with_parts("bars", "monthly") + """, adj AS (SELECT l_suppkey, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS code, CAST(l_shipdate AS DATE) AS trade_date, max(l_discount) AS factor, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem WHERE l_tax < 0.08 GROUP BY ALL)
     SELECT coalesce(b.code, a.code) AS code, coalesce(b.trade_date, a.trade_date) AS trade_date, CASE WHEN a.code IS NULL THEN 'NO_ADJUSTED_ROW' WHEN b.volume <> a.volume THEN 'VOLUME_DIFFERS' ELSE 'MERGED' END AS status, round(CASE WHEN b.volume = a.volume THEN b.close * (1 - a.factor) END, 6) AS close_adjusted FROM bars b FULL JOIN adj a ON a.code = b.code AND a.trade_date = b.trade_date""")
 def dual_basis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and adjusted rows of a day side by side; a difference in what both report is a status, not a guess."""
@@ -272,7 +272,7 @@ def board_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("code", "board", F.col("ratio").cast("double").alias("ratio"), S.half_up(F.col("pre") * (1 + F.col("ratio"))).cast("double").alias("upper_limit"), S.half_up(F.col("pre") * (1 - F.col("ratio"))).cast("double").alias("lower_limit"), S.market_prefix(F.col("code")).alias("market"))
 
 
-@query("SF06 SF17 SF18 SF19 SF29 CQ20", with_parts("fills") + """SELECT fill_id, side, CAST(g AS DOUBLE) AS gross, CAST(c AS DOUBLE) AS commission, CAST(s AS DOUBLE) AS stamp, CAST(ceil(g * 0.000137 * 100) / 100 AS DOUBLE) AS rounded_up, CAST(c + s AS DOUBLE) AS fees FROM
+@query("SF06 SF17 SF18 SF19 SF29", with_parts("fills") + """SELECT fill_id, side, CAST(g AS DOUBLE) AS gross, CAST(c AS DOUBLE) AS commission, CAST(s AS DOUBLE) AS stamp, CAST(ceil(g * 0.000137 * 100) / 100 AS DOUBLE) AS rounded_up, CAST(c + s AS DOUBLE) AS fees FROM
     (SELECT fill_id, side, g, CASE WHEN g > 0 THEN greatest(CAST(5 AS DECIMAL(18,2)), CAST(round(g * 0.0003, 2) AS DECIMAL(18,2))) ELSE 0 END AS c, CASE WHEN side = 'SELL' THEN CAST(round(g * CASE WHEN day >= DATE '2023-08-28' THEN 0.0005 ELSE 0.001 END, 2) AS DECIMAL(18,2)) ELSE 0 END AS s FROM (SELECT fill_id, side, day - CAST(fill_id % 400 AS INTEGER) AS day, CAST(price * shares * 100 AS DECIMAL(18,2)) AS g FROM fills WHERE side IS NOT NULL))""")
 def fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = A.fills(spark, sf_dir).where("side is not null").withColumn("gross", (F.col("price") * F.col("shares") * 100).cast("decimal(18,2)")).withColumn("day", F.date_sub("day", (F.col("fill_id") % 400).cast("int")))
@@ -292,7 +292,7 @@ def dividend_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("k", "band", S.dividend_tax(F.col("g"), F.col("band")).cast("double").alias("tax"), S.phase_of(F.year("a")).alias("phase"))
 
 
-@query("SF20 SF21 SF22", with_parts("fills") + """, c AS (SELECT fill_id, price, price * 100 AS lot, CAST(20000 + fill_id % 977 * 13 AS DECIMAL(18,2)) AS cash FROM fills WHERE price > 0),
+@query("SF20 SF21", with_parts("fills") + """, c AS (SELECT fill_id, price, price * 100 AS lot, CAST(20000 + fill_id % 977 * 13 AS DECIMAL(18,2)) AS cash FROM fills WHERE price > 0),
     g AS (SELECT *, CAST(floor((cash - 5) / lot) AS BIGINT) AS a, CAST(floor(cash / (lot * 1.0003)) AS BIGINT) AS b FROM c), t AS (SELECT fill_id, lot, cash, unnest([0, a - 1, a, a + 1, b - 1, b, b + 1]) AS n FROM g)
     SELECT fill_id, max(n) FILTER (n = 0 OR n > 0 AND CAST(lot * n AS DECIMAL(18,2)) + greatest(CAST(5 AS DECIMAL(18,2)), CAST(round(CAST(lot * n AS DECIMAL(18,2)) * 0.0003, 2) AS DECIMAL(18,2))) <= cash) * 100 AS shares FROM t GROUP BY 1""")
 def affordable_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def account_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("account", F.col("cash_change").cast("double").alias("cash_change"), "shares", F.col("fees").cast("double").alias("fees"), "fills")
 
 
-@query("LG10", with_parts("fills") + f", {_BALANCE} SELECT account, concat_ws(';', CASE WHEN CAST(account AS BIGINT) % 10 = 3 THEN 'CASH_CHANGE_DIFFERS' END, CASE WHEN CAST(account AS BIGINT) % 15 = 3 THEN 'SHARES_DIFFERS' END) AS reasons FROM bal WHERE CAST(account AS BIGINT) % 10 = 3 OR CAST(account AS BIGINT) % 15 = 3")
+@query("", with_parts("fills") + f", {_BALANCE} SELECT account, concat_ws(';', CASE WHEN CAST(account AS BIGINT) % 10 = 3 THEN 'CASH_CHANGE_DIFFERS' END, CASE WHEN CAST(account AS BIGINT) % 15 = 3 THEN 'SHARES_DIFFERS' END) AS reasons FROM bal WHERE CAST(account AS BIGINT) % 10 = 3 OR CAST(account AS BIGINT) % 15 = 3")
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampered balances are found by recomputing all of them."""
     b = L.balances(A.fills(spark, sf_dir), "0.0025", "1")
