@@ -152,7 +152,7 @@ FORWARD_LOG = {"orders": "order_id string, code string, day date, side string",
                "equity": "day date, equity decimal(18,2)", "reviews": "code string, day date, verdict string"}
 
 
-@query("CQ25", "SELECT 'signals' AS t, CAST(count(*) AS BIGINT) AS n, CAST(3 AS BIGINT) AS columns FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{t}', 0, {s.count(' ') - s.count(', ')})" for t, s in FORWARD_LOG.items()) + ")")
+@query("", "SELECT 'signals' AS t, CAST(count(*) AS BIGINT) AS n, CAST(3 AS BIGINT) AS columns FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{t}', 0, {s.count(' ') - s.count(', ')})" for t, s in FORWARD_LOG.items()) + ")")
 def forward_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"signals": T(spark, sf_dir, "customer").where("c_acctbal > 9000").select(A.code_of("c_custkey").alias("code"), "c_mktsegment", F.lit("SIGNAL_FROZEN").alias("status"))}
     tables |= {t: spark.createDataFrame([], s) for t, s in FORWARD_LOG.items()}

@@ -1,4 +1,5 @@
-"""A paged JSON interface as a Spark data source: a page is a partition, and a task that is lost reads its page again."""
+"""A paged JSON interface: as files that Spark lists and reads, or as a data source with a fetch of its own, in which a page is
+a partition and a task that is lost reads its page again."""
 
 from __future__ import annotations
 
@@ -6,6 +7,8 @@ import json
 import time
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -15,7 +18,8 @@ WAITS = (5.0, 15.0, 30.0)
 
 class PageFolder(DataSource):
     """format("pitgrid_pages"): option path, a glob of files in a shared folder, each {"error": "0", "fields": [...],
-    "rows": [[...]]}; option waits, seconds between attempts. A subclass with another fetch() reads from elsewhere.
+    "rows": [[...]]}; option waits, seconds between attempts. Local paths only, as in tests: a subclass with other pages() and
+    fetch() reads from elsewhere, and read_pages() reads files in any store.
 
     An error code other than "0", other fields than the schema's or a row of another length fail the read; they are
     never taken for an empty page. Values are strings.
@@ -65,3 +69,20 @@ class PageReader(DataSourceReader):
             if len(row) != len(self.fields):
                 raise ValueError(f"{page}: a row of {len(row)} values")
             yield tuple(row)
+
+
+def read_pages(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """The same pages as files under path, listed and read by Spark, so in any store that Spark reads: rows of strings.
+
+    Fails closed like PageReader: text that is no page, an error code other than "0", other fields or a row of another length
+    fail the read and name the file. A page is held whole by one task. No files at all are an error of the path.
+    """
+    answer = F.from_json("value", "error string, fields array<string>, rows array<array<string>>")
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), answer.alias("a"))
+    width = F.lit(len(fields))
+    problem = (
+        F.when(F.col("a").isNull() | F.col("a.rows").isNull(), "no page").when(~F.col("a.error").eqNullSafe(F.lit("0")), F.concat(F.lit("error "), F.coalesce("a.error", F.lit("missing"))))
+        .when(~F.col("a.fields").eqNullSafe(F.array(*[F.lit(f) for f in fields])), "other fields").when(F.exists("a.rows", lambda r: ~F.size(r).eqNullSafe(width)), "a row of another length")
+    )
+    rows = F.when(problem.isNull(), F.col("a.rows")).otherwise(F.raise_error(F.concat("file", F.lit(": "), problem)).cast("array<array<string>>"))
+    return pages.select(F.explode(rows).alias("r")).select(*[F.get("r", F.lit(i)).alias(f) for i, f in enumerate(fields)])
