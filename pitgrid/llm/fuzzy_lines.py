@@ -25,6 +25,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 10, 4
 #: Up to so many keys of candidate lines are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_LINES = 500_000
+#: From so many lines of a bucket on, shared shingles are counted at once; the classes are the same.
+COUNTED = 64
 _CHUNK = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(31))
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -105,6 +107,41 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["did", "th", "line_no", "line", "bands"])
 
 
+def links_by_sets(lines: list[int], sets: list[set[str]]) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between lines, set by set: quick where there are few lines."""
+    classes: list[list[int]] = []
+    for i, own in enumerate(sets):
+        joined, rest = [i], []
+        for members in classes:
+            link = next((j for j in members if SIMILARITY * len(sets[j]) <= len(own) <= len(sets[j]) / SIMILARITY and similarity(own, sets[j]) >= SIMILARITY), None)
+            if link is None:
+                rest.append(members)
+            else:
+                yield lines[i], lines[link]
+                joined += members
+        classes = [*rest, joined]
+
+
+def links_by_counts(lines: list[int], sets: list[set[str]]) -> Iterator[tuple[int, int]]:
+    """The same classes: the shingles that a line shares with every other are counted at once, by the lines of each shingle."""
+    names: dict[str, int] = {}
+    ids = [np.fromiter((names.setdefault(x, len(names)) for x in own), np.int64, len(own)) for own in sets]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.concatenate(ids)
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]  # lines by shingle, in order of lines
+    ends = np.cumsum(np.bincount(flat, minlength=len(names)))
+    starts = np.concatenate([[0], ends[:-1]])
+    classes = np.arange(len(ids))
+    for i, own in enumerate(ids):
+        both = np.bincount(np.concatenate([holders[starts[x] : ends[x]] for x in own]), minlength=len(ids))[:i]
+        alike = np.flatnonzero(both / (sizes[i] + sizes[:i] - both) >= SIMILARITY)
+        met, first = np.unique(classes[alike], return_index=True)
+        for j in alike[first].tolist():
+            yield lines[i], lines[j]
+        classes[:i][np.isin(classes[:i], met)] = i
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["band", "side_a", "side_b"]
     for table in sorted_groups(batches, keys):
@@ -112,22 +149,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, texts = table["line"].to_numpy().tolist(), table["text"].to_pylist()
         left, right = [], []
         for lo, hi in zip(starts, starts[1:]):
-            classes: list[list[tuple[int, set[str]]]] = []
-            seen: set[int] = set()
-            for i in range(lo, hi):
-                if lines[i] in seen:
-                    continue
-                seen.add(lines[i])
-                own, joined, rest = shingles(texts[i]), [], []
-                for members in classes:
-                    link = next((x for x, s in members if SIMILARITY * len(s) <= len(own) <= len(s) / SIMILARITY and similarity(own, s) >= SIMILARITY), None)
-                    if link is None:
-                        rest.append(members)
-                    else:
-                        left.append(lines[i])
-                        right.append(link)
-                        joined += members
-                classes = [*rest, [*joined, (lines[i], own)]]
+            own = dict(zip(lines[lo:hi], texts[lo:hi]))
+            for a, b in (links_by_counts if len(own) >= COUNTED else links_by_sets)(list(own), list(map(shingles, own.values()))):
+                left.append(a)
+                right.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 

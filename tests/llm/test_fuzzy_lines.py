@@ -117,3 +117,32 @@ def test_long_texts_are_linear(spark):
     (r,) = dedup_lines(docs).collect()
     assert (r.n_lines, r.n_removed) == (400_000, 360_000) and r.text == "\n".join(lines[:40_000])
     assert time.monotonic() - began < 150
+
+
+def test_both_ways_to_link_give_the_classes_of_all_pairs():
+    import random
+
+    from pitgrid.llm import fuzzy_lines as L
+
+    rng = random.Random(5)
+    for n in (1, 2, 40, 150):
+        stems = ["".join(rng.choices("abcdefgh ", k=rng.randint(1, 120))) for _ in range(max(1, n // 6))]
+        texts = []
+        for _ in range(n):
+            line = list(rng.choice(stems))
+            for _ in range(rng.randint(0, 3)):
+                line[rng.randrange(len(line))] = rng.choice("xyz")
+            texts.append("".join(line))
+        sets = [L.shingles(x) for x in texts]
+        keys = [i * 7 - 100 for i in range(n)]
+
+        def classes(links):
+            root = list(range(n))
+            for a, b in links:
+                a, b = root[keys.index(a)], root[keys.index(b)]
+                root = [a if r == b else r for r in root]
+            return [root.index(r) for r in root]
+
+        pairs = [(keys[i], keys[j]) for i in range(n) for j in range(i) if L.similarity(sets[i], sets[j]) >= L.SIMILARITY]
+        assert classes(pairs) == classes(L.links_by_sets(keys, sets)) == classes(L.links_by_counts(keys, sets))
+        assert set(L.links_by_counts(keys, sets)) <= set(pairs) and set(L.links_by_sets(keys, sets)) <= set(pairs)
