@@ -57,6 +57,14 @@ def half_up(c: Column, places: int = 2) -> Column:
     return F.round(c, places)
 
 
+def round_binary(c: Column, places: int) -> Column:
+    """Doubles as C's round(c * 10**places) / 10**places, which SQL engines use; F.round() goes by the decimal text, where a
+    half can lie that the product misses."""
+    t = F.abs(c.cast("double")) * 10.0**places
+    whole = F.floor(t).cast("double")
+    return F.signum(c) * (whole + F.when(t - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**places
+
+
 def round_up(c: Column) -> Column:
     """To whole hundredths, away from zero; for c >= 0."""
     return F.ceil(c, F.lit(2))

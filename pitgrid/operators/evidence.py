@@ -111,14 +111,14 @@ def rule_flags(bars: DataFrame, tolerance: float = 0.001) -> DataFrame:
     return out.withColumn("limit_up", near("upper")).withColumn("limit_down", near("lower")).withColumn("suspended", F.when(usable, idle))
 
 
-def rule_alignment(flagged: DataFrame, stated: DataFrame) -> DataFrame:
+def rule_alignment(flagged: DataFrame, stated: DataFrame, keys: tuple[str, ...] = ("code", "trade_date")) -> DataFrame:
     """A cross table of inferred rules against stated ones, by board, by status and overall, in one pass.
 
-    stated: code, trade_date, stated_upper, stated_lower. Rows, rows of which something can be said, rows at either limit,
+    stated: keys (they name one row of either side), stated_upper, stated_lower. Rows, rows of which something can be said, rows at either limit,
     suspended ones, halts that the status and the volume disagree on, and how the stated limits compare: the same, others,
     or none stated.
     """
-    j = flagged.join(stated, ["code", "trade_date"], "left")
+    j = flagged.join(stated, list(keys), "left")
     said, both = F.col("upper").isNotNull(), F.col("stated_upper").isNotNull() & F.col("stated_lower").isNotNull()
     same = (F.col("upper") == F.col("stated_upper")) & (F.col("lower") == F.col("stated_lower"))
     status = F.when(F.col("traded"), "TRADED").otherwise("HALTED")

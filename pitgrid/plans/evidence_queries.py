@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitgrid.functions import scalars as S
 from pitgrid.operators import evidence as E
 from pitgrid.operators import metrics as M
 from pitgrid.operators import panel as P
@@ -83,14 +84,15 @@ def rule_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     of some the snapshot says nothing or something else."""
     n, dn = F.col("code").cast("long"), F.dayofyear("trade_date")
     prefix = F.get(F.array(*[F.lit(p) for p in ("688", "300", "430", "600", "000")]), (n % 5).cast("int"))
-    b = A.bars(spark, sf_dir).withColumn("pre_close", F.round(P.lagged("close", 1), 2).cast("decimal(18,4)"))
-    b = b.select(F.concat(prefix, F.right("code", F.lit(3))).alias("code"), "trade_date", "pre_close", F.col("close").alias("raw"), "volume", (n % 10 == 3).alias("special"), (dn % 13 != 6).alias("traded"))
-    limits = E.rule_flags(b.withColumn("close", F.lit(1.0))).select("code", "trade_date", "upper", "lower", *b.columns[2:])
+    b = A.bars(spark, sf_dir).withColumn("pre_close", S.round_binary(P.lagged("close", 1), 2).cast("decimal(18,4)"))
+    # own: codes that share their last three digits are one code on a board, but not one row
+    b = b.select(F.col("code").alias("own"), F.concat(prefix, F.right("code", F.lit(3))).alias("code"), "trade_date", "pre_close", F.col("close").alias("raw"), "volume", (n % 10 == 3).alias("special"), (dn % 13 != 6).alias("traded"))
+    limits = E.rule_flags(b.withColumn("close", F.lit(1.0))).select("own", "code", "trade_date", "upper", "lower", *b.columns[3:])
     close = F.when(dn % 7 == 0, F.col("upper").cast("double")).when(dn % 7 == 1, F.col("lower").cast("double")).when(dn % 19 == 5, 0.0).otherwise(F.col("raw"))
-    bars = limits.select("code", "trade_date", "pre_close", close.alias("close"), F.when(dn % 11 == 4, 0.0).otherwise(F.col("volume")).alias("volume"), "special", "traded")
-    stated = limits.where(dn % 5 != 2).select("code", "trade_date", (F.col("upper") + F.when(dn % 17 == 8, F.lit("0.01").cast("decimal(18,2)")).otherwise(F.lit("0").cast("decimal(18,2)"))).cast("decimal(18,2)").alias("stated_upper"), F.col("lower").alias("stated_lower"))
+    bars = limits.select("own", "code", "trade_date", "pre_close", close.alias("close"), F.when(dn % 11 == 4, 0.0).otherwise(F.col("volume")).alias("volume"), "special", "traded")
+    stated = limits.where(dn % 5 != 2).select("own", "trade_date", (F.col("upper") + F.when(dn % 17 == 8, F.lit("0.01").cast("decimal(18,2)")).otherwise(F.lit("0").cast("decimal(18,2)"))).cast("decimal(18,2)").alias("stated_upper"), F.col("lower").alias("stated_lower"))
     stated = stated.where("stated_upper is not null")
-    return E.rule_alignment(E.rule_flags(bars), stated)
+    return E.rule_alignment(E.rule_flags(bars), stated, ("own", "trade_date"))
 
 
 @query("AU08", with_parts("fills") + """, s AS (SELECT account, count(*) AS steps FROM fills WHERE side IS NOT NULL GROUP BY 1)
