@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from pitgrid.functions import scalars as S
 from pitgrid.plans import adapters as A
 from pitgrid.plans.registry import query, with_parts
 from pitgrid.plans.source_queries import _new
@@ -19,8 +20,9 @@ SYMBOL = "sh000001"
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars of a code in an array by date (84 at most), prices as text of six places."""
-    text = lambda c: F.bround(F.col(c).cast("decimal(38,18)"), 6).cast("decimal(18,6)").cast("string").alias(c)
+    """Monthly bars of a code in an array by date (84 at most), prices as text: rounded once, to the four places that are
+    shown, and written with six."""
+    text = lambda c: S.round_binary(F.col(c), 4).cast("decimal(18,6)").cast("string").alias(c)
     m = A.monthly(spark, sf_dir).select("code", F.date_format("trade_date", "yyyy-MM-dd").alias("day"), *[text(c) for c in ("open", "high", "low", "close")], F.col("volume").cast("long").alias("volume"))
     rows = F.array_sort(F.collect_list(F.struct("day", "open", "high", "low", "close", "volume")))
     return m.groupBy("code").agg(rows.alias("rows")).withColumn("k", F.col("code").cast("long"))

@@ -3,6 +3,7 @@
 import datetime
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from pitgrid.functions import scalars
@@ -38,6 +39,20 @@ def test_codes_that_end_alike_are_rows_of_their_own(spark, tmp_path):
     assert same(spark, "rule_alignment", path) == ""
 
 
+def edge(price, quantity):
+    """A price a piece whose product with 10**4 falls short of the half that its text shows."""
+    x = price / quantity
+    return repr(x).endswith("5") and len(repr(x).split(".")[1]) == 5 and x * 1e4 - math.floor(x * 1e4) < 0.5
+
+
+@pytest.mark.parametrize("name", ["payload_arrays", "payload_wrapped", "payload_columns"])
+def test_prices_are_rounded_once(spark, tmp_path, name):
+    prices = [k / 100 for k in range(4001, 60000) if edge(k / 100, 40)][:12]
+    assert len(prices) == 12
+    path = tables(spark, f"{tmp_path}/sf", [(1, f"1997-{m + 1:02}-05", 40, p) for m, p in enumerate(prices)])
+    assert same(spark, name, path) == ""
+
+
 def test_binary_rounding(spark):
     x = [1.005, -1.005, 2.5, 0.0, 1234.565, 0.125]
     got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(scalars.round_binary(F.col("x"), 2).alias("y")).collect()]
