@@ -112,21 +112,25 @@ def opening_size(cash: Column, single: Column, portfolio: Column, price: Column,
     a struct of status, shares, gross, fees, required and budget. Amounts are non-negative decimals; what can't be read, or
     a price, minimum or step that isn't positive, is INVALID_INPUT with no shares."""
     money = "decimal(18,2)"
-    budget = F.when(cash.isNotNull() & single.isNotNull() & portfolio.isNotNull(), F.least(cash, single, portfolio)).cast(money)
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a value that is worked out once
+    within = F.when(cash.isNotNull() & single.isNotNull() & portfolio.isNotNull(), F.least(cash, single, portfolio)).cast(money)
+
+    def sized(i: Column) -> Column:
+        # the commission is either the least or a share: the answer lies within a step of what either alone would allow
+        alone = [(i.budget - F.lit(least).cast(money)) / i.price, i.budget / (i.price * (1 + F.lit(rate).cast("decimal(8,6)")))]
+        near = F.flatten(F.transform(F.array(*[F.floor((n - i.minimum) / i.step).cast("bigint") for n in alone]), lambda at: F.array(at - 1, at, at + 1)))
+        steps = F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(near, lambda k: F.greatest(k, F.lit(0).cast("bigint")))))
+        tries = F.transform(steps, lambda k: (i.minimum + k * i.step).cast("bigint"))
+        costs = F.transform(F.transform(tries, lambda n: F.struct(n.alias("shares"), (i.price * n).cast(money).alias("gross"))), lambda x: F.struct(x.shares.alias("shares"), x.gross.alias("gross"), commission(x.gross, rate, least).alias("fees")))
+        fits = F.filter(costs, lambda x: (x.gross + x.fees).cast(money) <= i.budget)
+        return F.array_max(fits)  # most shares: they come first
+
+    bad = lambda i: ~F.coalesce((i.budget >= 0) & (i.price > 0) & (i.minimum > 0) & (i.step > 0), F.lit(False))
     nothing = F.lit(0).cast(money)
-    gross = lambda n: (price * n).cast(money)
-    required = lambda n: (gross(n) + commission(gross(n), rate, least)).cast(money)
-    alone = [(budget - F.lit(least).cast(money)) / price, budget / (price * (1 + F.lit(rate).cast("decimal(8,6)")))]
-    # the commission is either the least or a share: the answer lies within a step of what either alone would allow
-    tries = F.array(*[minimum + F.greatest(F.floor((n - minimum) / step).cast("bigint") + k, F.lit(0).cast("bigint")) * step for n in alone for k in (-1, 0, 1)])
-    shares = F.array_max(F.filter(tries, lambda n: required(n) <= budget))
-    bad = ~F.coalesce((budget >= 0) & (price > 0) & (minimum > 0) & (step > 0), F.lit(False))
-    out = lambda status, n, g, r: F.struct(F.lit(status).alias("status"), n.cast("bigint").alias("shares"), g.alias("gross"), (r - g).cast(money).alias("fees"), r.alias("required"), budget.alias("budget"))
-    none = F.lit(0)
-    return (
-        F.when(bad, out("INVALID_INPUT", none, nothing, nothing)).when(F.coalesce(required(minimum) > budget, F.lit(True)), out("BUDGET_BELOW_MINIMUM_LOT", none, nothing, nothing))
-        .otherwise(out("SIZED_NOT_EXECUTED", shares, gross(shares), required(shares)))
-    )
+    out = lambda status, x, i: F.struct(F.lit(status).alias("status"), F.coalesce(x.shares, F.lit(0).cast("bigint")).alias("shares"), F.coalesce(x.gross, nothing).alias("gross"), F.coalesce(x.fees, nothing).alias("fees"), F.coalesce((x.gross + x.fees).cast(money), nothing).alias("required"), i.budget.alias("budget"))
+    known = F.struct(within.alias("budget"), price.alias("price"), minimum.alias("minimum"), step.alias("step"))
+    return let(known, lambda i: let(
+        F.when(~bad(i), sized(i)), lambda x: F.when(bad(i), out("INVALID_INPUT", x, i)).when(x.isNull(), out("BUDGET_BELOW_MINIMUM_LOT", x, i)).otherwise(out("SIZED_NOT_EXECUTED", x, i))))
 
 
 def phase_of(year: Column) -> Column:

@@ -58,3 +58,15 @@ def test_binary_rounding(spark):
     got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(scalars.round_binary(F.col("x"), 2).alias("y")).collect()]
     away = lambda v: math.copysign(math.floor(abs(v) * 100) + (abs(v) * 100 - math.floor(abs(v) * 100) >= 0.5), v) / 100
     assert got == [away(v) for v in x]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sizes_are_worked_out_once(spark):
+    """The size's expression is not written out anew wherever its result is read."""
+    assert len(REGISTRY["opening_sizes"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toJSON()) < 2_000_000
