@@ -80,6 +80,15 @@ def both_ways(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.select(*keys).join(right, keys, "left_anti").withColumn("only", F.lit("left")).union(right.select(*keys).join(left, keys, "left_anti").withColumn("only", F.lit("right")))
 
 
+def keys_of_one_side(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that only one side has, with the side, by one grouping of both: no join and no sort. Null equals no key."""
+    both = left.select(key, F.lit(True).alias("_left")).union(right.select(key, F.lit(False)))
+    found = both.groupBy(key).agg(F.bool_or("_left").alias("_l"), F.bool_or(~F.col("_left")).alias("_r"))
+    alone = F.col(key).isNull()
+    sides = F.array_compact(F.array(F.when(F.col("_l") & (alone | ~F.col("_r")), F.lit("left")), F.when(F.col("_r") & (alone | ~F.col("_l")), F.lit("right"))))
+    return found.where(alone | (F.col("_l") != F.col("_r"))).select(key, F.explode(sides).alias("only"))
+
+
 def missing_fields(df: DataFrame, *columns: str) -> DataFrame:
     """(field, filled): rows with a value, by column; one pass."""
     counts = df.agg(*[F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])

@@ -194,9 +194,9 @@ def lineage_scale_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("JN22 JN23 AU04", "SELECT o_orderkey AS k, 'order' AS only FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'line' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = T(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).distinct()
-    b = T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
-    return G.both_ways(a, b, ["k"]).withColumn("only", F.when(F.col("only") == "left", "order").otherwise("line"))
+    a = T(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    b = T(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return G.keys_of_one_side(a, b, "k").withColumn("only", F.when(F.col("only") == "left", "order").otherwise("line"))
 
 
 @query("JN12 JN13 JN21 PF05", "SELECT n.n_name AS nation, r.r_name AS region, count(DISTINCT s.s_suppkey) AS suppliers, count(DISTINCT c.c_custkey) AS customers, count(s.s_suppkey) > 0 AS selected, CASE WHEN count(s.s_suppkey) = 0 THEN 'NO_SUPPLIER' ELSE '' END AS note FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey WHERE r.r_name NOT IN ('AFRICA') GROUP BY ALL")

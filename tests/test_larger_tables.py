@@ -70,3 +70,14 @@ def plan(df):
 def test_sizes_are_worked_out_once(spark):
     """The size's expression is not written out anew wherever its result is read."""
     assert len(REGISTRY["opening_sizes"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toJSON()) < 2_000_000
+
+
+def test_keys_of_one_side(spark):
+    """As two anti-joins of the distinct keys, nulls included, but by one grouping."""
+    from pitgrid.operators import gates
+
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k long") for xs in ([1, 2, 2, None], [2, 3, 3, None]))
+    want = sorted(map(repr, gates.both_ways(a.distinct(), b.distinct(), ["k"]).collect()))
+    assert sorted(map(repr, gates.keys_of_one_side(a, b, "k").collect())) == want and len(want) == 4
+    text = plan(REGISTRY["orders_without_lines"].run(spark, SF))
+    assert "Join" not in text and "Sort" not in text
