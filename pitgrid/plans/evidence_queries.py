@@ -141,7 +141,8 @@ def yearly_retraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     median. A test compares models and scores with numpy."""
     rows = AQ.model_rows(A.bars(spark, sf_dir)).dropna()
     years = list(range(1997, 2002))
-    grams = R.yearly_grams(rows, AQ.FEATURES, "label", "trade_date")
+    found = R.yearly_grams(rows, AQ.FEATURES, "label", "trade_date")
+    grams = spark.createDataFrame(found.collect(), found.schema)  # a row a year: read for the models and for the counts
     models = R.expanding_fits(grams, AQ.FEATURES, "label", 1995, years)
     scored = R.score_by_year(rows, models, "trade_date").select("code", "trade_date", "score", "label")
     ic = M.rank_correlation(scored, "trade_date", "score", "label", "code").groupBy(F.year("trade_date").cast("long").alias("y"))

@@ -72,6 +72,11 @@ def test_sizes_are_worked_out_once(spark):
     assert len(REGISTRY["opening_sizes"].run(spark, SF)._jdf.queryExecution().optimizedPlan().toJSON()) < 2_000_000
 
 
+def test_retraining_passes_over_the_samples_twice(spark):
+    """Once for the models, which are made before, and once for the scores."""
+    assert plan(REGISTRY["yearly_retraining"].run(spark, SF)).count("FileScan parquet") == 1
+
+
 def test_keys_of_one_side(spark):
     """As two anti-joins of the distinct keys, nulls included, but by one grouping."""
     from pitgrid.operators import gates
