@@ -67,12 +67,17 @@ RANK_SQL = FACTOR_SQL + """, s AS (SELECT code, last_value(trade_date) OVER x AS
     k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY composite DESC, code) AS place FROM c) """
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Month-end rows of each code, ranked across codes by momentum and low volatility."""
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month-end rows of each code that have momentum and volatility."""
     f = factors(spark, sf_dir).withColumn("m", F.trunc("trade_date", "month"))
     last = W.partitionBy("code", "m")
     s = f.withColumn("month_last", F.max("trade_date").over(last)).where("trade_date = month_last")
-    s = s.select("code", "trade_date", "m", F.round("momentum", 8).cast("decimal(20,8)").alias("mom"), F.round("volatility", 8).cast("decimal(20,8)").alias("vol")).where("mom is not null and vol is not null")
+    return s.select("code", "trade_date", "m", F.round("momentum", 8).cast("decimal(20,8)").alias("mom"), F.round("volatility", 8).cast("decimal(20,8)").alias("vol")).where("mom is not null and vol is not null")
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eligible rows, ranked across codes by momentum and low volatility."""
+    s = eligible(spark, sf_dir)
     p = s.withColumn("eligible", F.count("*").over(W.partitionBy("m"))).withColumn("momentum_percentile", P.ordinal_percentile(["m"], "mom", "code")).withColumn("low_vol_percentile", 1 - P.ordinal_percentile(["m"], "vol", "code"))
     c = p.withColumn("composite", F.round((F.col("momentum_percentile") + F.col("low_vol_percentile")) / 2, 10))
     return c.withColumn("place", F.row_number().over(W.partitionBy("m").orderBy(F.desc("composite"), "code")))
@@ -89,9 +94,11 @@ def factor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(m AS DATE), 'momentum', code FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY mom DESC, code) AS n FROM e) WHERE n <= 5 UNION ALL
     SELECT CAST(m AS DATE), 'low_vol', code FROM (SELECT *, row_number() OVER (PARTITION BY m ORDER BY vol, code) AS n FROM e) WHERE n <= 5""")
 def diagnostic_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ranked(spark, sf_dir).select("m", "code", "mom", "vol")
-    by = lambda order, name: e.withColumn("n", F.row_number().over(W.partitionBy("m").orderBy(order, "code"))).where("n <= 5").select(F.col("m").alias("month"), F.lit(name).alias("schedule"), "code")
-    return e.select(F.col("m").alias("month"), F.lit("equal").alias("schedule"), "code").union(by(F.desc("mom"), "momentum")).union(by(F.asc("vol"), "low_vol"))
+    """All three schedules from one pass over the eligible rows."""
+    place = lambda order: F.row_number().over(W.partitionBy("m").orderBy(order, "code"))
+    e = eligible(spark, sf_dir).select("m", "code", place(F.desc("mom")).alias("by_mom"), place(F.asc("vol")).alias("by_vol"))
+    schedules = F.array_compact(F.array(F.lit("equal"), F.when(F.col("by_mom") <= 5, F.lit("momentum")), F.when(F.col("by_vol") <= 5, F.lit("low_vol"))))
+    return e.select(F.col("m").alias("month"), F.explode(schedules).alias("schedule"), "code")
 
 
 @query("WN15 WN17", with_parts("bars") + """, x AS (SELECT *, count(*) OVER a AS n, avg(close) OVER a AS ma, stddev_samp(close) OVER a AS sd, max(high) OVER a AS hi, min(low) OVER a AS lo, lag(close, 20) OVER w AS c20

@@ -77,6 +77,10 @@ def test_retraining_passes_over_the_samples_twice(spark):
     assert plan(REGISTRY["yearly_retraining"].run(spark, SF)).count("FileScan parquet") == 1
 
 
+def test_schedules_come_from_one_pass(spark):
+    assert plan(REGISTRY["diagnostic_schedules"].run(spark, SF)).count("FileScan parquet") == 1
+
+
 def test_keys_of_one_side(spark):
     """As two anti-joins of the distinct keys, nulls included, but by one grouping."""
     from pitgrid.operators import gates
