@@ -7,6 +7,9 @@ partitioning and order, so that a set of them costs one shuffle and one sort.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,13 +54,67 @@ def returns(close: str = "close") -> Column:
     return F.col(close) / lagged(close, 1) - 1
 
 
-def volatility(r: str, n: int, per_year: int = 252) -> Column:
-    """Sample deviation of the last n returns, a year's."""
-    return whole(F.stddev_samp(r).over(rows(-(n - 1), 0)), F.col(r), -(n - 1), 0) * F.sqrt(F.lit(float(per_year)))
+def volatility(moments: str, per_year: int = 252) -> Column:
+    """Sample deviation of the last returns, whose moments are given by with_rolling(), a year's."""
+    return F.col(f"{moments}.deviation") * F.sqrt(F.lit(float(per_year)))
+
+
+def _block(n: int) -> int:
+    """Size of the blocks that an n-row window is put together from with the fewest looks back."""
+    return min(range(1, n + 1), key=lambda b: (b - 1 + n // b - 1 + n % b, -b))
+
+
+def with_rolling(panel: DataFrame, wanted: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """panel with a column for each of wanted, name: (kind, column, n), over the last n rows of a code, this one included;
+    kind is max, min, or moments (a struct of mean and sample deviation).
+
+    A frame of n rows costs n updates a row. Here blocks of about sqrt(n) rows are made by looking back row by row, and
+    windows by looking back block by block; looks of one distance share a pass. Moments are put together from the blocks'
+    means and squared distances from these, so that no large squares cancel.
+    """
+    kept = panel.columns
+    back = lambda c, k: F.col(c) if k == 0 else lagged(c, k)
+    mean_of = lambda xs, sizes: reduce(add, [x * float(k) for x, k in zip(xs, sizes)]) / float(sum(sizes))
+    plan = {name: (kind, c, n, _block(n)) for name, (kind, c, n) in wanted.items()}
+    seen = {f"_{c}_{k}": back(c, k) for _, c, _, b in plan.values() for k in range(b)}
+    blocks, squares = {}, {}
+    for name, (kind, c, _, b) in plan.items():
+        xs = [F.col(f"_{c}_{k}") for k in range(b)]
+        if kind == "moments":
+            blocks[f"_{name}"] = mean_of(xs, [1] * b)
+            squares[f"_{name}_2"] = reduce(add, [(x - F.col(f"_{name}")) ** 2 for x in xs])
+        else:
+            blocks[f"_{name}"] = _extreme(kind, xs)
+    df = panel.withColumns(seen).withColumns(blocks).withColumns(squares)
+    df = df.drop(*[x for x in seen if x not in {f"_{c}_0" for _, c, _, _ in plan.values()}])
+    looks, means, values = {}, {}, {}
+    for name, (kind, c, n, b) in plan.items():
+        parts = [(f"_{name}", i * b, b) for i in range(n // b)] + [(f"_{c}_0", n - 1 - i, 1) for i in range(n % b)]
+        of = {f"_{name}_w{k}": (x, k) for x, k, _ in parts}
+        looks |= {w: back(*x) for w, x in of.items()}
+        xs, sizes = [F.col(w) for w in of], [size for _, _, size in parts]
+        if kind == "moments":
+            two = {f"_{name}_q{i}": back(f"_{name}_2", i * b) for i in range(n // b)}
+            looks |= two
+            means[f"_{name}_mean"] = mean_of(xs, sizes)
+            mean = F.col(f"_{name}_mean")
+            apart = reduce(add, [F.col(q) for q in two] + [(x - mean) ** 2 * float(k) for x, k in zip(xs, sizes)])
+            values[name] = F.when(mean.isNotNull(), F.struct(mean.alias("mean"), F.sqrt(apart / F.nullif(F.lit(float(n - 1)), F.lit(0.0))).alias("deviation")))
+        else:
+            values[name] = _extreme(kind, xs)
+    return df.withColumns(looks).withColumns(means).withColumns(values).select(*kept, *wanted)
+
+
+def _extreme(kind: str, xs: list[Column]) -> Column:
+    """Greatest or least of all xs; null if any is null."""
+    there = reduce(and_, [x.isNotNull() for x in xs])
+    return F.when(there, xs[0] if len(xs) == 1 else (F.greatest if kind == "max" else F.least)(*xs))
 
 
 def rolling_median(c: str, n: int) -> Column:
-    return whole(F.percentile(c, F.lit(0.5)).over(rows(-(n - 1), 0)), F.col(c), -(n - 1), 0)
+    """The frame's values are sorted as they are: n is small, and a percentile builds a hash map a row."""
+    last = F.sort_array(F.collect_list(c).over(rows(-(n - 1), 0)))
+    return F.when(F.size(last) == n, 0.5 * F.get(last, F.lit((n - 1) // 2)) + 0.5 * F.get(last, F.lit(n // 2)))
 
 
 def moving_average(c: str, n: int, until: int = 0) -> Column:
@@ -69,25 +126,32 @@ def prior_high(c: str, n: int) -> Column:
     return whole(F.max(c).over(rows(-n, -1)), F.col(c), -n, -1)
 
 
+def position_windows(n: int = 20) -> dict[str, tuple[str, str, int]]:
+    """What position_features() reads, for with_rolling()."""
+    return {"closes": ("moments", "close", n + 1), "highest": ("max", "high", n + 1), "lowest": ("min", "low", n + 1)}
+
+
 def position_features(n: int = 20) -> dict[str, Column]:
     """Price features over n + 1 rows, relative to the current close."""
-    full = lambda v, c: whole(v, F.col(c), -n, 0)
-    frame = rows(-n, 0)
-    hi, lo = F.max("high").over(frame), F.min("low").over(frame)
+    c, hi, lo = F.col("close"), F.col("highest"), F.col("lowest")
     return {
-        f"ROC{n}": lagged("close", n) / F.col("close"),
-        f"MA{n}": full(F.avg("close").over(frame), "close") / F.col("close"),
-        f"STD{n}": full(F.stddev_samp("close").over(frame), "close") / F.col("close"),
-        f"MAX{n}": full(hi, "high") / F.col("close"),
-        f"MIN{n}": full(lo, "low") / F.col("close"),
-        f"RSV{n}": full(F.when(hi > lo, (F.col("close") - lo) / (hi - lo)), "high"),
+        f"ROC{n}": lagged("close", n) / c,
+        f"MA{n}": F.col("closes.mean") / c,
+        f"STD{n}": F.col("closes.deviation") / c,
+        f"MAX{n}": hi / c,
+        f"MIN{n}": lo / c,
+        f"RSV{n}": F.when(hi > lo, (c - lo) / (hi - lo)),
     }
 
 
+def volume_windows(n: int = 20) -> dict[str, tuple[str, str, int]]:
+    """What volume_features() reads, for with_rolling()."""
+    return {"volumes": ("moments", "volume", n + 1), "least_volume": ("min", "volume", n + 1)}
+
+
 def volume_features(n: int = 20) -> dict[str, Column]:
-    frame = rows(-n, 0)
-    live = lambda v: F.when(F.col("volume") > 0, whole(v, F.when(F.col("volume") >= 0, F.col("volume")), -n, 0) / F.col("volume"))
-    return {f"VMA{n}": live(F.avg("volume").over(frame)), f"VSTD{n}": live(F.stddev_samp("volume").over(frame))}
+    live = lambda v: F.when((F.col("volume") > 0) & (F.col("least_volume") >= 0), F.col(v) / F.col("volume"))
+    return {f"VMA{n}": live("volumes.mean"), f"VSTD{n}": live("volumes.deviation")}
 
 
 def candle_features() -> dict[str, Column]:

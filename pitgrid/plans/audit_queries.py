@@ -34,9 +34,10 @@ FEATURES = [*Q._K, "ROC20", "MA20", "STD20", "MAX20", "MIN20", "RSV20", "VMA20",
 def model_rows(bars: DataFrame) -> DataFrame:
     """(code, trade_date, 22 features, label); all share one partitioning, so they cost one shuffle."""
     back = lambda n: F.col("close") / P.lagged("close", n) - 1
-    more = {"return_5": back(5), "return_20": back(20), "volatility_20": P.volatility("ret", 19), "amount_median_5": P.rolling_median("amount", 5), "volume_median_5": P.rolling_median("volume", 5)}
+    more = {"return_5": back(5), "return_20": back(20), "volatility_20": P.volatility("returns"), "amount_median_5": P.rolling_median("amount", 5), "volume_median_5": P.rolling_median("volume", 5)}
     features = P.candle_features() | P.position_features(20) | P.volume_features(20) | more
-    return bars.withColumn("ret", P.returns()).select("code", "trade_date", *[v.alias(k) for k, v in features.items()], P.forward_label().alias("label"))
+    windows = {"returns": ("moments", "ret", 19)} | P.position_windows(20) | P.volume_windows(20)
+    return P.with_rolling(bars.withColumn("ret", P.returns()), windows).select("code", "trade_date", *[v.alias(k) for k, v in features.items()], P.forward_label().alias("label"))
 
 
 SAMPLE_SQL = with_parts("bars") + """, r AS (SELECT *, close / lag(close) OVER w - 1 AS ret, nullif(high - low, 0) AS s FROM bars WINDOW w AS (PARTITION BY code ORDER BY trade_date)),

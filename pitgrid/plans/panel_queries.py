@@ -50,8 +50,8 @@ FACTOR_SQL = with_parts("bars") + """, r AS (SELECT *, close / lag(close) OVER w
 
 
 def factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = A.bars(spark, sf_dir).withColumn("ret", P.returns())
-    return b.select("code", "trade_date", P.momentum().alias("momentum"), P.volatility("ret", 63).alias("volatility"), P.rolling_median("amount", 20).alias("median_amount"))
+    b = P.with_rolling(A.bars(spark, sf_dir).withColumn("ret", P.returns()), {"returns": ("moments", "ret", 63)})
+    return b.select("code", "trade_date", P.momentum().alias("momentum"), P.volatility("returns").alias("volatility"), P.rolling_median("amount", 20).alias("median_amount"))
 
 
 @query("WN01 WN02 WN03 WN04 CQ01 CQ02", FACTOR_SQL + "SELECT code, trade_date, round(momentum, 8) AS momentum, round(volatility, 8) AS volatility, round(median_amount, 4) AS median_amount FROM f WHERE momentum IS NOT NULL")
@@ -106,7 +106,7 @@ def diagnostic_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT code, trade_date, round(c20 / close, 6) AS "ROC20", round(ma / close, 6) AS "MA20", round(sd / close, 6) AS "STD20", round(hi / close, 6) AS "MAX20", round(lo / close, 6) AS "MIN20", round(CASE WHEN hi > lo THEN (close - lo) / (hi - lo) END, 6) AS "RSV20" FROM x WHERE n = 21""")
 def alpha_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = P.position_features(20)
-    out = A.bars(spark, sf_dir).select("code", "trade_date", *[v.alias(k) for k, v in f.items()]).where("ROC20 is not null")
+    out = P.with_rolling(A.bars(spark, sf_dir), P.position_windows(20)).select("code", "trade_date", *[v.alias(k) for k, v in f.items()]).where("ROC20 is not null")
     return _rounded(out, *f, places=6)
 
 
@@ -114,7 +114,7 @@ def alpha_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT *, count(*) OVER a AS n, avg(volume) OVER a AS ma, stddev_samp(volume) OVER a AS sd, count(*) OVER b AS k, quantile_cont(amount, 0.5) OVER b AS ma5, quantile_cont(volume, 0.5) OVER b AS mv5 FROM bars WINDOW a AS (PARTITION BY code ORDER BY trade_date ROWS 20 PRECEDING), b AS (PARTITION BY code ORDER BY trade_date ROWS 4 PRECEDING))""")
 def alpha_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = P.volume_features(20) | {"amount_median_5": P.rolling_median("amount", 5), "volume_median_5": P.rolling_median("volume", 5)}
-    out = A.bars(spark, sf_dir).select("code", "trade_date", *[v.alias(k) for k, v in f.items()])
+    out = P.with_rolling(A.bars(spark, sf_dir), P.volume_windows(20)).select("code", "trade_date", *[v.alias(k) for k, v in f.items()])
     return _rounded(_rounded(out, "VMA20", "VSTD20", places=6), "amount_median_5", "volume_median_5", places=4)
 
 
@@ -131,9 +131,9 @@ def kbar(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT code, trade_date, round(close / lag(close, 5) OVER w - 1, 6) AS return_5, round(close / lag(close, 20) OVER w - 1, 6) AS return_20, round(CASE WHEN count(ret) OVER v = 19 THEN stddev_samp(ret) OVER v * sqrt(252) END, 6) AS volatility_20, round(lead(close, 2) OVER w / lead(close, 1) OVER w - 1, 6) AS label
     FROM r WINDOW w AS (PARTITION BY code ORDER BY trade_date), v AS (PARTITION BY code ORDER BY trade_date ROWS 18 PRECEDING)""")
 def returns_and_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = A.bars(spark, sf_dir).withColumn("ret", P.returns())
+    b = P.with_rolling(A.bars(spark, sf_dir).withColumn("ret", P.returns()), {"returns": ("moments", "ret", 19)})
     back = lambda n: F.col("close") / P.lagged("close", n) - 1
-    out = b.select("code", "trade_date", back(5).alias("return_5"), back(20).alias("return_20"), P.volatility("ret", 19).alias("volatility_20"), P.forward_label().alias("label"))
+    out = b.select("code", "trade_date", back(5).alias("return_5"), back(20).alias("return_20"), P.volatility("returns").alias("volatility_20"), P.forward_label().alias("label"))
     return _rounded(out, "return_5", "return_20", "volatility_20", "label", places=6)
 
 

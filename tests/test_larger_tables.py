@@ -90,3 +90,36 @@ def test_keys_of_one_side(spark):
     assert sorted(map(repr, gates.keys_of_one_side(a, b, "k").collect())) == want and len(want) == 4
     text = plan(REGISTRY["orders_without_lines"].run(spark, SF))
     assert "Join" not in text and "Sort" not in text
+
+
+def test_rolling_windows_from_blocks(spark):
+    """The same values as from frames of all rows, and no frame of more than a median's rows."""
+    from pitgrid.operators import panel
+
+    x = [3.5, 1e6 + 0.25, 2.0, 2.0, 2.0, 2.0, None, *[float(i * i % 17) for i in range(60)], *[7.1] * 30]
+    df = spark.createDataFrame([(c, i, None if v is None else v + k) for k, c in enumerate("ab") for i, v in enumerate(x)], "code string, trade_date int, x double")
+    sizes = (1, 2, 5, 19, 21)
+    got = panel.with_rolling(df, {f"{kind}{n}": (kind, "x", n) for n in sizes for kind in ("moments", "max", "min")} | {"moments63": ("moments", "x", 63)})
+    got = got.withColumn("median6", panel.rolling_median("x", 6))
+    frame = lambda f, n: panel.whole(f("x").over(panel.rows(1 - n, 0)), F.col("x"), 1 - n, 0)
+    for n in (*sizes, 63):
+        got = got.withColumns({f"mean_{n}": frame(F.avg, n), f"deviation_{n}": frame(F.stddev_samp, n), f"max_{n}": frame(F.max, n), f"min_{n}": frame(F.min, n)})
+    got = got.withColumn("median_6", panel.whole(F.percentile("x", F.lit(0.5)).over(panel.rows(-5, 0)), F.col("x"), -5, 0))
+    near = lambda a, b: a == b or a is not None and b is not None and abs(a - b) <= 1e-9 * max(1, abs(b))
+    rows = got.collect()
+    assert len(rows) == 2 * len(x)
+    for r in rows:
+        for n in (*sizes, 63):
+            m = r[f"moments{n}"]
+            assert near(m and m.mean, r[f"mean_{n}"])
+            if n > 1:
+                assert near(m and m.deviation, r[f"deviation_{n}"])
+            if n < 63:
+                assert (r[f"max{n}"], r[f"min{n}"]) == (r[f"max_{n}"], r[f"min_{n}"])
+        assert near(r.median6, r.median_6)
+
+
+@pytest.mark.parametrize("name", ["factor_observations", "model_samples", "feature_registry"])
+def test_features_come_from_short_frames(spark, name):
+    text = plan(REGISTRY[name].run(spark, SF))
+    assert "percentile" not in text and "stddev" not in text and "-62" not in text and "-20, currentrow" not in text
