@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +43,8 @@ def order_lifecycle(events: DataFrame) -> DataFrame:
         mark = state.getCurrentWatermarkMs()
         out = []
         for rows in batches:
-            times = pd.to_datetime(rows["ts"])  # a group that timed out has no rows
-            days = times.dt.floor("D").astype("datetime64[ms]").astype("int64")
-            stamps = times.astype("datetime64[us]").astype("int64")
-            for kind, oid, day, at in zip(rows["event_type"], rows["event_id"], days.tolist(), stamps.tolist()):
+            columns = (rows[c].tolist() for c in ("event_type", "event_id", "day_ms", "at_us"))  # none if the group timed out
+            for kind, oid, day, at in zip(*columns):
                 if kind == "purchase":
                     held["orders"].append([int(oid), day + DAY_MS])
                 elif kind == "click":
@@ -53,7 +53,7 @@ def order_lifecycle(events: DataFrame) -> DataFrame:
         for oid, day in held["orders"]:
             at = held["clicks"].get(str(day))
             if at is not None or day + DAY_MS <= mark:
-                out.append((key[0], oid, pd.Timestamp(day, unit="ms").date(), "EXPIRED" if at is None else "BOOKED", None if at is None else pd.Timestamp(at, unit="us")))
+                out.append((key[0], oid, datetime.date(1970, 1, 1) + datetime.timedelta(milliseconds=day), "EXPIRED" if at is None else "BOOKED", "NaT" if at is None else np.datetime64(at, "us")))
             else:
                 still.append([oid, day])
         clicks = {d: at for d, at in held["clicks"].items() if int(d) + DAY_MS > mark}
@@ -63,11 +63,11 @@ def order_lifecycle(events: DataFrame) -> DataFrame:
         elif state.exists:
             state.remove()
         if out:
-            frame = pd.DataFrame(out, columns=["user_id", "order_id", "day", "status", "filled_at"])
-            frame["filled_at"] = pd.to_datetime(frame["filled_at"])
-            yield frame
+            users, ids, days, status, filled = zip(*out)
+            yield pd.DataFrame({"user_id": users, "order_id": ids, "day": days, "status": status, "filled_at": np.array(filled, "datetime64[us]").astype("datetime64[ns]")})
 
-    wanted = events.where("event_type in ('purchase', 'click')")
+    at = F.unix_micros("ts")
+    wanted = events.where("event_type in ('purchase', 'click')").select("user_id", "ts", "event_type", "event_id", (F.floor(at / 86_400_000_000) * DAY_MS).alias("day_ms"), at.alias("at_us"))
     return wanted.groupBy("user_id").applyInPandasWithState(run, "user_id long, order_id long, day date, status string, filled_at timestamp", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
