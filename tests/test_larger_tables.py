@@ -123,3 +123,62 @@ def test_rolling_windows_from_blocks(spark):
 def test_features_come_from_short_frames(spark, name):
     text = plan(REGISTRY[name].run(spark, SF))
     assert "percentile" not in text and "stddev" not in text and "-62" not in text and "-20, currentrow" not in text
+
+
+class State:
+    """A map, list or value of one key, counting the calls; as a handle, one that remembers timers."""
+
+    def __init__(self):
+        self.kept, self.calls, self.timers = {}, 0, []
+
+    def getMapState(self, *_):
+        return State()
+
+    getListState = getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def exists(self):
+        return bool(self.kept)
+
+    def get(self):
+        return self.kept.get(None)
+
+    def put(self, value):
+        self.kept[None] = value
+
+    update = put
+
+
+def test_a_new_account_is_not_looked_up():
+    from pitgrid.streaming import stateful as S
+
+    from .test_streams import BOOKED, FILLS
+
+    booking = S.BookFills("300.00")
+    booking.init(State())
+    names = [x.split()[0] for x in S.FILL.split(", ")]
+    rows = [S.Row(**dict(zip(names, f))) for f in FILLS if f[0] == "a"]
+    got = {r.arrival: r.status for r in booking.handleInputRows(("a",), iter(rows), None)}
+    assert got == BOOKED and booking.known.calls == 0
+    again = list(booking.handleInputRows(("a",), iter(rows[:3]), None))
+    assert [r.status for r in again] == ["REPEATED", "REPEATED", "CONFLICT"] and booking.known.calls == 1
+
+
+def test_an_account_waits_for_one_day_at_a_time():
+    from pitgrid.streaming import stateful as S
+
+    handle, dividends = State(), S.AdvanceDividends()
+    dividends.init(handle)
+    names = [x.split()[0] for x in S.ENTITLEMENT.split(", ")]
+    days = [datetime.datetime(2024, 1, d, 9, tzinfo=datetime.timezone.utc) for d in (5, 2, 3, 3)]
+    list(dividends.handleInputRows(("a",), iter([S.Row(**dict(zip(names, ("a", d, *[None] * 6)))) for d in days]), None))
+    assert handle.timers == [S._end_ms(datetime.date(2024, 1, 2))] and len(dividends.ends.get()) == 3
