@@ -3,10 +3,8 @@ planted by code, and read back; what the oracle gives is what was put in."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from pitgrid.functions import scalars as S
 from pitgrid.plans import adapters as A
@@ -84,9 +82,9 @@ def payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(P.column_days(b.select(F.col("code").alias("payload_id"), raw.alias("raw")), SYMBOL))
 
 
-@F.pandas_udf(BinaryType())
-def _gb18030(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x.encode("gb18030"))
+def _gb18030(text: str) -> F.Column:
+    """The text's bytes in GB18030, as Latin-1 characters: encoded as Latin-1, they are these bytes again."""
+    return F.lit(text.encode("gb18030").decode("latin-1"))
 
 
 LABEL = "历史 record"
@@ -101,11 +99,11 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda d: F.concat_ws("/", F.year(d), F.month(d), F.dayofmonth(d))
     d = F.to_date("o_orderdate")
     cash = F.when(k % 10 == 3, F.lit("about 1")).otherwise(F.concat(F.lit("0&#46;"), F.lpad((k % 97).cast("string"), 2, "0")))
-    line = F.concat(F.lit('<TR class="x">\n<td><b>'), day(d), F.lit("</b></td><td align=right>&nbsp;"), day(F.date_add(d, 20)), F.lit(" </td>\n<td>"), cash, F.lit("</td><td>分红 &amp; 其他</td></tr>"))
+    line = F.concat(F.lit('<TR class="x">\n<td><b>'), day(d), F.lit("</b></td><td align=right>&nbsp;"), day(F.date_add(d, 20)), F.lit(" </td>\n<td>"), cash, _gb18030("</td><td>分红 &amp; 其他</td></tr>"))
     rows = o.select(F.col("o_custkey").alias("payload_id"), line.alias("line")).groupBy("payload_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
-    page = F.concat(F.lit("<html><table><tr><td>1999/1/1</td><td>1999/1/2</td><td>9.5</td></tr></table><h2>"), F.when(F.col("payload_id") % 11 == 4, "其他").otherwise(LABEL), F.lit("</h2><table><tr><th>日期</th></tr><tr><td>登记日</td><td>到账日</td><td>元</td></tr>"), "lines", F.lit("</table></html>"))
+    page = F.concat(F.lit("<html><table><tr><td>1999/1/1</td><td>1999/1/2</td><td>9.5</td></tr></table><h2>"), F.when(F.col("payload_id") % 11 == 4, _gb18030("其他")).otherwise(_gb18030(LABEL)), _gb18030("</h2><table><tr><th>日期</th></tr><tr><td>登记日</td><td>到账日</td><td>元</td></tr>"), "lines", F.lit("</table></html>"))
     raw = F.when(F.col("payload_id") % 13 == 5, F.concat(F.col("raw"), F.lit(b"\xff\xff"))).otherwise(F.col("raw"))
-    pages = rows.select("payload_id", _gb18030(page).alias("raw")).select("payload_id", raw.alias("raw"))
+    pages = rows.select("payload_id", F.encode(page, "ISO-8859-1").alias("raw")).select("payload_id", raw.alias("raw"))
     return P.dividend_rows(pages, LABEL, least=3).withColumn("cash", F.col("cash").cast("double"))
 
 

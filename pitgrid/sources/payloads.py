@@ -165,9 +165,10 @@ def dividend_rows(pages: DataFrame, label: str, least: int = 10, encoding: str =
     day = lambda c: F.when(c.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_timestamp(c, F.lit("yyyy/M/d")).cast("date"))
     is_row = F.coalesce((F.size("cells") >= 3) & cell(0).rlike(r"^\d{4}/\d{1,2}/\d{1,2}$") & (number > 0), F.lit(False))
     kept = rows.select("payload_id", "reason", F.when(is_row, F.struct(day(cell(0)).alias("record_date"), day(cell(1)).alias("payment_date"), number.alias("cash"))).alias("r"))
-    pages_of = kept.groupBy("payload_id").agg(F.max("reason").alias("reason"), F.count("r").alias("n"), F.count_if(F.col("r").isNotNull() & (F.col("r.record_date").isNull() | F.col("r.payment_date").isNull())).alias("bad"))
-    verdict = F.when(F.col("reason") != "", F.col("reason")).when(F.col("bad") > 0, "BAD_DAY").when(F.col("n") < least, "TOO_FEW_ROWS").otherwise("")
-    verdicts = pages_of.select("payload_id", verdict.alias("reason"))
-    good = kept.where("r is not null").select("payload_id", "r.*").join(verdicts.where("reason = ''"), "payload_id")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("record_date", "date"), ("payment_date", "date"), ("cash", "decimal(18,6)"))]
-    return good.unionByName(verdicts.where("reason <> ''").select("payload_id", *nothing, "reason"))
+    pages_of = kept.groupBy("payload_id").agg(F.max("reason").alias("reason"), F.collect_list("r").alias("rs"))
+    bad = F.exists("rs", lambda r: r.record_date.isNull() | r.payment_date.isNull())
+    verdict = F.when(F.col("reason") != "", F.col("reason")).when(bad, "BAD_DAY").when(F.size("rs") < least, "TOO_FEW_ROWS").otherwise("")
+    verdicts = pages_of.select("payload_id", "rs", verdict.alias("reason"))
+    nothing = F.array(F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("record_date", "date"), ("payment_date", "date"), ("cash", "decimal(18,6)"))]))
+    each = F.explode(F.when(F.col("reason") == "", F.col("rs")).otherwise(nothing)).alias("r")
+    return verdicts.select("payload_id", each, "reason").select("payload_id", "r.*", "reason")

@@ -182,3 +182,9 @@ def test_an_account_waits_for_one_day_at_a_time():
     days = [datetime.datetime(2024, 1, d, 9, tzinfo=datetime.timezone.utc) for d in (5, 2, 3, 3)]
     list(dividends.handleInputRows(("a",), iter([S.Row(**dict(zip(names, ("a", d, *[None] * 6)))) for d in days]), None))
     assert handle.timers == [S._end_ms(datetime.date(2024, 1, 2))] and len(dividends.ends.get()) == 3
+
+
+def test_pages_pass_through_python_once(spark):
+    """A page is decoded once and its cells unescaped once; its bytes are made without Python."""
+    text = plan(REGISTRY["html_tables"].run(spark, SF))
+    assert text.count("FileScan parquet") == 1 and text.count("ArrowEvalPython") == 2 and "Join" not in text
