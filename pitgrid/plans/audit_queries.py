@@ -78,31 +78,38 @@ def feature_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- factors
 
+def month_factors(bars: DataFrame) -> DataFrame:
+    """(code, m, mom, vol) of each code's last row of a month, by the places of its closes in one array a code: no window, no
+    join. An array has a close a day, so the calendar bounds it, however many codes there are."""
+    days = bars.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("trade_date", "close"))).alias("d"))
+    days = days.select("code", F.size("d").alias("n"), F.col("d.close").alias("c"), F.transform("d.trade_date", lambda t: F.trunc(t, "month")).alias("m")).where("n > 252")
+    r = days.select("*", F.zip_with("c", F.concat(F.array(F.lit(None).cast("double")), "c"), lambda c, one: c / one - 1).alias("r"))
+    at = lambda c, i: F.element_at(c, i)
+    ends = F.filter(F.sequence(F.lit(253), "n"), lambda i: (i == F.col("n")) | (F.get("m", i) != at("m", i)))
+    spread = lambda s: s.s2 - s.s1 * s.s1 / 63  # noqa: E731  # null if any return is
+    sums = lambda i: F.aggregate(F.slice("r", i - 62, 63), F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2")), lambda s, x: F.struct((s.s1 + x).alias("s1"), (s.s2 + x * x).alias("s2")),
+                                 lambda s: F.when(spread(s) < 0, 0.0).otherwise(F.sqrt(spread(s) / 62 * 252)))
+    rows = F.transform(ends, lambda i: F.struct(at("m", i).alias("m"), F.round(at("c", i - 21) / at("c", i - 252) - 1, 8).alias("mom"), F.round(sums(i), 8).alias("vol")))
+    return r.select("code", F.inline(rows)).where("mom is not null and vol is not null")
+
+
 _FACTOR_TAMPERED = "CAST(code AS BIGINT) % 7 = 3 AND month(m) = 6"
 
 
 @query("AU01 AU02", Q.RANK_SQL + f"SELECT CAST(m AS DATE) AS m, code, CASE WHEN CAST(code AS BIGINT) % 11 = 5 THEN 'NOT_STORED' ELSE 'MOM_DIFFERS' END AS reasons FROM k WHERE CAST(code AS BIGINT) % 11 = 5 OR {_FACTOR_TAMPERED}")
 def factor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Momentum by joining rows by number, volatility from sums, percentiles and places by rank: the eligible set, the values,
+    """Momentum by the rows' numbers, volatility from sums, percentiles and places by rank: the eligible set, the values,
     the percentiles, the composite and the places of every month-end against those stored."""
     columns = ["mom", "vol", "momentum_percentile", "low_vol_percentile", "composite", "place"]
     n = _number()
     kept = Q.ranked(spark, sf_dir).select("m", "code", *[F.col(c).cast("double").alias(c) for c in columns]).where(n % 11 != 5)
     stored = kept.select("m", "code", _add("mom", (n % 7 == 3) & (F.month("m") == 6), 0.01), *columns[1:])
 
-    b = A.bars(spark, sf_dir).select("code", "trade_date", "close", F.row_number().over(P.series()).alias("i"))
-    ends = b.groupBy("code", F.trunc("trade_date", "month").alias("m")).agg(F.max("i").alias("i"))
-    before = lambda k, name: b.select("code", (F.col("i") + k).alias("i"), F.col("close").alias(name))
-    r = b.join(before(1, "one"), ["code", "i"]).select("code", "i", (F.col("close") / F.col("one") - 1).alias("r"))
-    last63 = W.partitionBy("code").orderBy("i").rangeBetween(-62, 0)
-    sums = r.select("code", "i", F.count("r").over(last63).alias("n63"), F.sum("r").over(last63).alias("s1"), F.sum(F.col("r") * F.col("r")).over(last63).alias("s2")).where("n63 = 63")
-    vol = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / 63) / 62 * 252)
-    e = ends.join(before(21, "c21"), ["code", "i"]).join(before(252, "c252"), ["code", "i"]).join(sums, ["code", "i"])
-    e = e.select("m", "code", F.round(F.col("c21") / F.col("c252") - 1, 8).alias("mom"), F.round(vol, 8).alias("vol"))
+    e = month_factors(A.bars(spark, sf_dir))
     by = lambda *order: W.partitionBy("m").orderBy(*order)
     e = e.withColumn("momentum_percentile", F.percent_rank().over(by("mom", "code"))).withColumn("low_vol_percentile", 1 - F.percent_rank().over(by("vol", "code")))
     e = e.withColumn("composite", F.round((F.col("momentum_percentile") + F.col("low_vol_percentile")) / 2, 10))
-    again = e.withColumn("place", F.rank().over(by(F.desc("composite"), "code")).cast("double"))
+    again = e.withColumn("place", F.rank().over(by(F.desc("composite"), "code")).cast("double")).where("code is not null")
     return L.reconcile(stored, again, ["m", "code"], columns, 1e-7)
 
 

@@ -69,9 +69,9 @@ RANK_SQL = FACTOR_SQL + """, s AS (SELECT code, last_value(trade_date) OVER x AS
 
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month-end rows of each code that have momentum and volatility."""
-    f = factors(spark, sf_dir).withColumn("m", F.trunc("trade_date", "month"))
-    last = W.partitionBy("code", "m")
-    s = f.withColumn("month_last", F.max("trade_date").over(last)).where("trade_date = month_last")
+    m = F.trunc("trade_date", "month")
+    after = F.lead(m).over(P.series())  # the order that the factors have, so that the rows aren't sorted anew by month
+    s = factors(spark, sf_dir).select("*", m.alias("m"), after.alias("after")).where("after is null or after <> m")
     return s.select("code", "trade_date", "m", F.round("momentum", 8).cast("decimal(20,8)").alias("mom"), F.round("volatility", 8).cast("decimal(20,8)").alias("vol")).where("mom is not null and vol is not null")
 
 
