@@ -148,33 +148,41 @@ def account_errors(accounts: DataFrame, fills: DataFrame, lots: DataFrame, divid
     ex_date, pay_date, shares, gross_per_share, payment_per_share. paid: account, event_id.
     """
     money = "decimal(18,2)"
-    signed = F.when(F.col("side") == "BUY", F.col("shares")).otherwise(-F.col("shares"))
+    signed = F.when(F.col("side") == "BUY", F.col("shares")).otherwise(-F.col("shares")).alias("signed")
+    any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
+
+    here = F.struct("day", "seq")
     journal = W.partitionBy("account").orderBy("at")
+    order = fills.select("account", "at", "day", "seq").select("account", (here <= F.lag(here).over(journal)).alias("early"))
+
     so_far = W.partitionBy("account", "code").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    f = fills.join(accounts.select("account", "as_of"), "account").withColumn("signed", signed).withColumn("here", F.struct("day", "seq"))
-    f = f.withColumn("early", F.col("here") <= F.lag("here").over(journal)).withColumn("held", F.sum("signed").over(so_far))
-    any_of = lambda c: F.coalesce(F.max(c), F.lit(False))
-    per_code = f.groupBy("account", "code").agg(F.sum("signed").alias("shares"))
-    ids = f.groupBy("account", "fill_id").agg(F.count("*").alias("n")).groupBy("account").agg((F.max("n") > 1).alias("repeated_fill"))
-    flows = f.groupBy("account").agg(
-        any_of("early").alias("early"), any_of(F.col("as_of").isNull() | (F.col("day") > F.col("as_of"))).alias("future_fill"), any_of(F.col("held") < 0).alias("negative"),
-        F.sum(-(F.col("signed") * F.col("price")) - F.col("fees")).alias("flow"),
-    )
-    kept = lots.groupBy("account", "code").agg(F.sum("shares").alias("stored"))
-    shares = per_code.where("shares != 0").join(kept.where("stored != 0"), ["account", "code"], "full_outer").groupBy("account").agg((~F.every(F.col("shares").eqNullSafe(F.col("stored")))).alias("shares_differ"))
-
-    events = dividends.join(accounts.select("account", "as_of"), "account").join(paid.select("account", "event_id").distinct().withColumn("is_paid", F.lit(True)), ["account", "event_id"], "left")
-    is_paid = F.coalesce("is_paid", F.lit(False))
-    total = lambda which, per: F.sum(F.when(which, F.col("shares") * per).otherwise(0))
-    once = events.groupBy("account", "event_id").agg(F.count("*").alias("n")).groupBy("account").agg((F.max("n") > 1).alias("repeated_event"))
-    due = events.groupBy("account").agg(
-        any_of(F.col("as_of").isNull() | (F.col("ex_date") > F.col("as_of"))).alias("future_event"), any_of(is_paid & (F.col("as_of").isNull() | (F.col("pay_date") > F.col("as_of")))).alias("early_payment"),
-        total(is_paid, F.col("payment_per_share")).alias("received"), total(~is_paid, F.col("gross_per_share")).alias("open_gross"), total(is_paid, F.col("gross_per_share") - F.col("payment_per_share")).alias("held_back"),
-    )
-    unknown = paid.join(dividends.select("account", "event_id"), ["account", "event_id"], "left_anti").select("account", F.lit(True).alias("unknown_paid")).distinct()
-    j = accounts
-    for part in (flows, ids, shares, due, once, unknown):
-        j = j.join(part, "account", "left")
+    held = fills.select("account", "code", "at", signed).select("account", "code", "signed", F.sum("signed").over(so_far).alias("held")).groupBy("account", "code").agg(F.sum("signed").alias("moved"), any_of(F.col("held") < 0).alias("negative"))
+    both = held.unionByName(lots.select("account", "code", F.col("shares").alias("stored")), True).groupBy("account", "code").agg(F.sum("moved").alias("moved"), F.sum("stored").alias("stored"), F.max("negative").alias("negative"))
+    known = lambda c: F.when(F.col(c) != 0, F.col(c))
+    shares = both.select("account", "negative", (~known("moved").eqNullSafe(known("stored"))).alias("shares_differ"))
+
+    flow = F.sum(-(F.col("signed") * F.col("price")) - F.col("fees")).alias("flow")
+    flows = fills.select("account", "fill_id", "day", "price", "fees", signed).groupBy("account", "fill_id").agg(F.count("*").alias("fill_n"), F.max("day").alias("last_day"), flow)
+
+    value = lambda per, name: (F.col("shares") * per).alias(name)
+    gross, payment = F.col("gross_per_share"), F.col("payment_per_share")
+    due = dividends.select("account", "event_id", "ex_date", "pay_date", F.lit(1).alias("due"), value(payment, "payment"), value(gross, "gross"), value(gross - payment, "tax"))
+    events = due.unionByName(paid.select("account", "event_id", F.lit(True).alias("named")), True).groupBy("account", "event_id").agg(
+        F.count("due").alias("n"), any_of("named").alias("named"), F.max("ex_date").alias("ex_date"), F.max("pay_date").alias("pay_date"), *[F.sum(c).alias(c) for c in ("payment", "gross", "tax")])
+    there, no_id = F.col("n") > 0, F.col("event_id").isNull()
+    is_paid = there & F.col("named") & ~no_id
+    dues = events.select(
+        "account", F.col("n").alias("event_n"), F.col("ex_date").alias("last_ex"), is_paid.alias("any_paid"), F.when(is_paid, F.col("pay_date")).alias("last_pay"), (F.col("named") & (~there | no_id)).alias("unknown_paid"),
+        F.when(is_paid, F.col("payment")).alias("received"), F.when(there & ~is_paid, F.col("gross")).alias("open_gross"), F.when(is_paid, F.col("tax")).alias("held_back"))
+
+    # all parts go through one grouping: joined one by one, their sorts and maps would stand side by side in one task
+    parts = reduce(lambda a, b: a.unionByName(b, True), (order, shares, flows, dues))
+    summed = ("flow", "received", "open_gross", "held_back")
+    found = parts.groupBy("account").agg(*[(F.sum if c in summed else F.max)(c).alias(c) for c in parts.columns if c != "account"])
+    j = accounts.join(found, "account", "left").withColumns({"repeated_fill": F.col("fill_n") > 1, "repeated_event": F.col("event_n") > 1})
+    as_of = F.col("as_of")
+    after = lambda some, last: some & (as_of.isNull() | F.coalesce(F.col(last) > as_of, F.lit(False)))
+    j = j.withColumns({"future_fill": after(F.col("fill_n") > 0, "last_day"), "future_event": after(F.col("event_n") > 0, "last_ex"), "early_payment": after(F.col("any_paid"), "last_pay")})
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(28,4)")
     j = j.withColumn("expected_cash", F.col("initial_cash") + zero("flow") + zero("received"))
     differs = lambda c, expected: ~F.col(c).cast("decimal(28,4)").eqNullSafe(expected.cast("decimal(28,4)"))

@@ -196,11 +196,10 @@ def account_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     journal = fills.select("account", F.struct("ts", "fill_id", "copy").alias("at"), "fill_id", "day", F.when(k % 211 == 0, F.lit("1970-01-01").cast(every.schema["ts"].dataType)).otherwise(F.col("ts")).alias("seq"), "code", "side", "price", "shares", fee.alias("fees"))
 
     named = fills.withColumn("owner", F.col("account")).withColumn("account", F.concat_ws(":", "account", "code"))
-    lots = L.fifo_lots(named).groupBy("account").agg(F.sum("left").alias("left"))
+    lots = L.fifo_lots(named).select("account", "left").unionByName(named.select("account"), True).groupBy("account").agg(F.sum("left").alias("left"))  # those that only sold too
     owner, code = F.substring_index("account", ":", 1), F.substring_index("account", ":", -1)
     extra = F.when((owner.cast("long") % 18 == 2) & (code == "000000"), 1).otherwise(0)
-    sold_only = named.select("account").distinct().join(lots, "account", "left")
-    lots = sold_only.select(owner.alias("account"), code.alias("code"), (F.coalesce("left", F.lit(0)) + extra).alias("shares"))
+    lots = lots.select(owner.alias("account"), code.alias("code"), (F.coalesce("left", F.lit(0)) + extra).alias("shares"))
 
     ex = F.date_add("day", (k % 7).cast("int"))
     declared = known.where("side is null and fill_id % 5 = 0").select(

@@ -229,3 +229,16 @@ def test_factors_are_audited_without_joins_of_bars(spark):
     """Bars are read once a side, and only the finished places are joined."""
     text = plan(REGISTRY["factor_audit"].run(spark, SF))
     assert text.count("FileScan parquet") == 2 and text.count("SortMergeJoin") + text.count("HashJoin") == 1 and "-62" not in text
+
+
+def test_parts_of_an_account_go_through_one_grouping(spark):
+    """Joined one by one, their sorts and maps stand side by side in one task: 19 joins before."""
+    text = plan(REGISTRY["account_audit"].run(spark, SF))
+    assert text.count("SortMergeJoin") + text.count("HashJoin") <= 4
+
+
+def test_events_without_an_id_are_not_paid(spark):
+    from .test_validators import ledger_case
+
+    assert ledger_case(spark, dividends=[(None, 4, 5, 10)], paid=[None], receivable="10") == ["UNKNOWN_PAID_EVENT"]
+    assert ledger_case(spark, dividends=[(None, 4, 5, 10)], receivable="10") == []
